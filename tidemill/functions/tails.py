@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
 def f_upper_tail(f: Column, df1: Column, df2: Column) -> Column:
     """P(F > f), by the continued fraction of the regularised incomplete beta function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
         from math import exp, lgamma, log

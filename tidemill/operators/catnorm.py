@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import ColumnError, col, q, require_categorical
@@ -26,8 +27,6 @@ STEPS = ("unicode_normalize", "strip_accents", "fix_unicode", "strip_whitespace"
 
 
 def _fold_characters(values: Column, compose: bool, accents: bool) -> Column:
-    import pandas as pd
-
     table = PLAIN_LETTERS if accents else {}
 
     @F.pandas_udf("string")

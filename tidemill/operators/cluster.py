@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import ceil, floor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import ColumnError, col, q, require_categorical
@@ -21,8 +22,6 @@ METHODS = ("ratio", "partial_ratio", "token_sort_ratio")
 def similarity(a: Column, b: Column, partial: bool) -> Column:
     """0-100: twice the longest common subsequence over the summed lengths; ``partial`` takes the best
     placement of the shorter text along the longer one."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
         def common(x, y):

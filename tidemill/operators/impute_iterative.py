@@ -42,7 +42,7 @@ class RegressionFill:
                         if weights[j, i + 1]:
                             value = value + F.lit(float(weights[j, i + 1])) * (
                                 col(c).cast("double") - float(self.centre[i]))
-                    cases = (cases or F).when(pattern == bits, value)
+                    cases = (F if cases is None else cases).when(pattern == bits, value)
             filled = cases.otherwise(filled) if cases is not None else filled
             out[name] = F.coalesce(col(name).cast("double"), filled)
         return df.select(*[out[c].alias(c) if c in out else col(c) for c in df.columns])

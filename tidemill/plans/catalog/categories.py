@@ -148,7 +148,7 @@ QUERIES = {
         c.table(spark, d, "conversations").select("conv_id", "turn", "text"), "text",
         ("fix_unicode", "strip_whitespace", "lowercase")), None),
     "normalize_report": (normalize_report, f"""WITH {c.DIRTY_TYPES}, n AS (SELECT event_type AS b, {CLEAN} AS a
-            FROM dirty_types) SELECT count(*) AS rows_affected, count_if(a <> b) AS values_changed,
+            FROM dirty_types) SELECT count(*) AS rows_affected, count(*) FILTER (WHERE a <> b) AS values_changed,
         count(DISTINCT b) AS unique_before, count(DISTINCT a) AS unique_after FROM n"""),
     "harmonize_values": (harmonize_values, HARMONIZED),
     "cluster_ratio": (lambda spark, d: cluster.cluster_values(

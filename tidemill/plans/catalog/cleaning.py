@@ -81,8 +81,8 @@ QUERIES = {
         WITH {c.GAPPY_EVENTS}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
             FROM gappy_events), b AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)
         SELECT 'value' AS "column", 'iqr' AS method, CAST(1.5 AS DOUBLE) AS threshold,
-            count_if(value IS NOT NULL AND value NOT BETWEEN low AND high) AS rows_removed,
-            count_if(value IS NULL OR value BETWEEN low AND high) AS remaining_rows,
+            count(*) FILTER (WHERE value IS NOT NULL AND value NOT BETWEEN low AND high) AS rows_removed,
+            count(*) FILTER (WHERE value IS NULL OR value BETWEEN low AND high) AS remaining_rows,
             round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, round(any_value(q3 - q1), 4) AS iqr,
             round(any_value(low), 4) AS lower_bound, round(any_value(high), 4) AS upper_bound
         FROM gappy_events, b"""),
@@ -137,5 +137,5 @@ QUERIES = {
     "impute_iterative": (impute_iterative, None),
     "impute_report": (impute_report, f"""WITH {c.GAPPY_EVENTS}
         SELECT 'value' AS "column", 'mean' AS strategy, round(avg(value), 6) AS value_used,
-            count_if(value IS NULL) AS rows_affected, count(*) AS total_rows, 'double' AS dtype FROM gappy_events"""),
+            count(*) FILTER (WHERE value IS NULL) AS rows_affected, count(*) AS total_rows, 'double' AS dtype FROM gappy_events"""),
 }

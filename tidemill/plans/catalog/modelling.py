@@ -197,7 +197,7 @@ CHECKS = [
     ("train_test_split", {"test_size": 1.5}),
     ("drop_columns", {"columns": ["value", "nothing"]}),
 ]
-CHECKED = f"""WITH {c.GAPPY_EVENTS}, n AS (SELECT count_if(value IS NULL) AS gaps,
+CHECKED = f"""WITH {c.GAPPY_EVENTS}, n AS (SELECT count(*) FILTER (WHERE value IS NULL) AS gaps,
         count(*) - count(DISTINCT (user_id, event_type)) AS extra, count(DISTINCT event_type) AS k FROM gappy_events)
     SELECT 'impute' AS op, true AS allowed, gaps || ' rows of ''value'' using median' AS reason FROM n
     UNION ALL SELECT 'drop_duplicate_rows', true, 'drops ' || extra || ' duplicate rows' FROM n
@@ -266,8 +266,8 @@ QUERIES = {
         SELECT 'event_type' AS "column", 'removed' AS change, 'string' AS type_before, CAST(NULL AS VARCHAR) AS type_after
         UNION ALL SELECT 'extra', 'added', NULL, 'int' UNION ALL SELECT 'user_id', 'retyped', 'bigint', 'int'"""),
     "version_diff_missing": (lambda spark, d: versions.diff_missing(*before_after(spark, d)), f"""WITH {AFTER},
-        n AS (SELECT (SELECT count_if(value IS NULL) FROM gappy_events) AS b,
-            (SELECT count_if(value IS NULL) FROM after) AS a)
+        n AS (SELECT (SELECT count(*) FILTER (WHERE value IS NULL) FROM gappy_events) AS b,
+            (SELECT count(*) FILTER (WHERE value IS NULL) FROM after) AS a)
         SELECT 'value' AS "column", b AS "before", a AS "after", a - b AS delta FROM n WHERE a <> b"""),
     "version_diff_stats": (lambda spark, d: versions.diff_stats(*before_after(spark, d)), stats_sql()),
     "version_rows_diff": (lambda spark, d: versions.diff_rows(

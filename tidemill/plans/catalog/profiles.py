@@ -19,7 +19,7 @@ def describe_numeric_sql():
             quantile_cont(CAST({n} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({n} AS DOUBLE), 0.5) AS q50,
             quantile_cont(CAST({n} AS DOUBLE), 0.75) AS q75,
             {_shape('skewness', n)} AS skewness, {_shape('kurtosis', n)} AS kurtosis,
-            count_if({n} = 0) AS num_zeros, count_if({n} < 0) AS num_negatives FROM shaped_events"""
+            count(*) FILTER (WHERE {n} = 0) AS num_zeros, count(*) FILTER (WHERE {n} < 0) AS num_negatives FROM shaped_events"""
         for n in c.SHAPED_NUMBERS)
 
 
@@ -41,9 +41,9 @@ def describe_numeric_checked():
 def describe_categorical_sql(columns=("o_orderstatus", "o_orderpriority")):
     return f"WITH {c.GAPPY_ORDERS} " + c.union_all(f"""(
         WITH v AS (SELECT {n} AS value, count(*) AS n FROM gappy_orders WHERE {n} IS NOT NULL GROUP BY 1),
-        t AS (SELECT count(*) AS total, count_if({n} IS NULL) AS missing,
+        t AS (SELECT count(*) AS total, count(*) FILTER (WHERE {n} IS NULL) AS missing,
             round(coalesce(avg(length({n})), 0.0), 2) AS avg_length FROM gappy_orders),
-        u AS (SELECT count(*) AS unique_count, count_if(n < 0.05 * (total - missing)) AS rare_count FROM v, t)
+        u AS (SELECT count(*) AS unique_count, count(*) FILTER (WHERE n < 0.05 * (total - missing)) AS rare_count FROM v, t)
         SELECT '{n}' AS "column", unique_count, missing AS missing_count, rare_count, avg_length,
             CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS "rank", value, n AS "count",
             round(n * 100.0 / total, 2) AS percentage
@@ -58,7 +58,7 @@ def missing_sql():
 
 
 def _missing(n):
-    return f"SELECT '{n}' AS \"column\", count_if({n} IS NULL) AS \"count\", count(*) AS total_rows FROM shaped_events"
+    return f"SELECT '{n}' AS \"column\", count(*) FILTER (WHERE {n} IS NULL) AS \"count\", count(*) AS total_rows FROM shaped_events"
 
 
 OUTLIER_FIELDS = ("column", "severity", "method", "method_reason", "outlier_count", "outlier_percentage",
@@ -81,10 +81,10 @@ def outlier_facts(n):
             coalesce(std > 0 AND abs({x} - mean) > 3 * std, false) AS z FROM shaped_events, f)
         SELECT '{n}' AS "column", any_value(method) AS method, any_value(method_reason) AS method_reason,
             any_value(n) AS sample_size,
-            CASE any_value(method) WHEN 'IQR' THEN count_if(iqr) WHEN 'Z-score' THEN count_if(z)
-                ELSE count_if(iqr AND z) END AS outlier_count,
-            CASE WHEN any_value(method) = 'Both_intersection' THEN count_if(iqr AND NOT z) END AS iqr_only_count,
-            CASE WHEN any_value(method) = 'Both_intersection' THEN count_if(z AND NOT iqr) END AS zscore_only_count
+            CASE any_value(method) WHEN 'IQR' THEN count(*) FILTER (WHERE iqr) WHEN 'Z-score' THEN count(*) FILTER (WHERE z)
+                ELSE count(*) FILTER (WHERE iqr AND z) END AS outlier_count,
+            CASE WHEN any_value(method) = 'Both_intersection' THEN count(*) FILTER (WHERE iqr AND NOT z) END AS iqr_only_count,
+            CASE WHEN any_value(method) = 'Both_intersection' THEN count(*) FILTER (WHERE z AND NOT iqr) END AS zscore_only_count
         FROM h)"""
 
 
@@ -125,7 +125,7 @@ NEAR_ZERO = on_distinct("""SELECT "column", unique_count, top_value AS dominant_
 
 DUPLICATES = """WITH g AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority)
     SELECT CASE WHEN sum(n - 1) < 10 THEN 'low' WHEN sum(n - 1) < 100 THEN 'medium' ELSE 'high' END AS severity,
-        CAST(sum(n - 1) AS BIGINT) AS duplicate_count, count_if(n > 1) AS unique_duplicated_rows,
+        CAST(sum(n - 1) AS BIGINT) AS duplicate_count, count(*) FILTER (WHERE n > 1) AS unique_duplicated_rows,
         CAST(sum(n) AS BIGINT) AS total_rows, round(sum(n - 1) * 100.0 / sum(n), 2) AS duplicate_percentage
     FROM g HAVING sum(n - 1) > 0"""
 
@@ -172,8 +172,8 @@ PAIRED = ("c_custkey", "c_nationkey", "c_acctbal")
 
 def kendall_sql():
     parts = c.union_all(f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2,
-            sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) / sqrt(CAST(count_if(p.{a} <> q.{a}) AS DOUBLE)
-                * count_if(p.{b} <> q.{b})) AS r, (SELECT count(*) FROM customer) AS sample_size
+            sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) / sqrt(CAST(count(*) FILTER (WHERE p.{a} <> q.{a}) AS DOUBLE)
+                * count(*) FILTER (WHERE p.{b} <> q.{b})) AS r, (SELECT count(*) FROM customer) AS sample_size
         FROM customer p, customer q""" for a, b in combinations(PAIRED, 2))
     return f"SELECT {FIELDS.format('kendall')} FROM ({parts})"
 
@@ -185,7 +185,7 @@ def categorical(spark, d):
 
 def contingency_sql(a, b):
     return f"""(WITH n AS (SELECT {a} AS x, {b} AS y, count(*) AS n FROM banded_orders GROUP BY 1, 2),
-        g AS (SELECT x, y, coalesce(n, 0) AS n FROM (SELECT DISTINCT x FROM n), (SELECT DISTINCT y FROM n)
+        g AS (SELECT x, y, coalesce(n, 0) AS n FROM (SELECT DISTINCT x FROM n) CROSS JOIN (SELECT DISTINCT y FROM n)
             LEFT JOIN n USING (x, y)),
         m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny,
             sum(n) OVER () AS total FROM g),

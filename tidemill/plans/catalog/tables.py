@@ -122,7 +122,7 @@ def create_feature(spark, d):
     df = c.table(spark, d, "lineitem").drop("l_shipdate")
     for name, expression in FEATURES.items():
         df = project.create_feature(df, name, expression)
-    return df.withColumn("gross", F.round("gross", 4))
+    return df.withColumn("gross", F.round("gross", 6))
 
 
 def duplicated(spark, d):
@@ -188,11 +188,11 @@ QUERIES = {
     "cast_report": (lambda spark, d: project.cast_report(c.text_events(spark, d), REPORTED).select(
         "column", "old_type", "new_type", "turned_null", F.col("error").isNotNull().alias("failed")), f"""
         WITH {c.TEXT_EVENTS}, made AS (SELECT
-            count_if(TRY_CAST(whole_text AS BIGINT) IS NULL) AS whole_null,
-            count_if(value <> floor(value)) > 0 AS fractional,
-            count_if(TRY_CAST(value_text AS DOUBLE) <> floor(TRY_CAST(value_text AS DOUBLE))) > 0 AS text_fractional,
-            count_if(TRY_CAST(flag_text AS BOOLEAN) IS NULL) AS flag_null,
-            count_if(TRY_CAST(day_text AS TIMESTAMP) IS NULL) AS day_null FROM text_events)
+            count(*) FILTER (WHERE TRY_CAST(whole_text AS BIGINT) IS NULL) AS whole_null,
+            count(*) FILTER (WHERE value <> floor(value)) > 0 AS fractional,
+            count(*) FILTER (WHERE TRY_CAST(value_text AS DOUBLE) <> floor(TRY_CAST(value_text AS DOUBLE))) > 0 AS text_fractional,
+            count(*) FILTER (WHERE TRY_CAST(flag_text AS BOOLEAN) IS NULL) AS flag_null,
+            count(*) FILTER (WHERE TRY_CAST(day_text AS TIMESTAMP) IS NULL) AS day_null FROM text_events)
         SELECT 'whole_text' AS "column", 'string' AS old_type, 'bigint' AS new_type, whole_null AS turned_null,
             false AS failed FROM made
         UNION ALL SELECT 'value_text', 'string', 'string', 0, text_fractional FROM made
@@ -200,7 +200,7 @@ QUERIES = {
         UNION ALL SELECT 'value', 'double', 'double', 0, fractional FROM made
         UNION ALL SELECT 'day_text', 'string', 'timestamp', day_null, false FROM made"""),
     "create_feature": (create_feature, """SELECT * EXCLUDE (l_shipdate),
-        round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross,
+        round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross,
         CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS INTEGER) AS bulk,
         l_returnflag || l_linestatus AS flags FROM lineitem"""),
     "dt_year": (date_part("year"), date_sql("year", "year(ts)")),
