@@ -70,7 +70,7 @@ def main() -> int:
 
     args = sys.argv[1:]
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    spark, con = local_session("8"), duck(folder)
+    spark, con = local_session("8", spark__ui__showConsoleProgress="false"), duck(folder)
     bad = 0
     for name, run in e.queries().items():
         if args and name not in args:

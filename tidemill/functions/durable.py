@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(work: Callable, items: Iterable, at_once: int = 4) -> list:
+    """Run independent jobs at the same time; small ones would leave most of a cluster idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(work, items))

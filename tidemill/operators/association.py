@@ -7,7 +7,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemill.functions.columns import categorical_columns, col, numeric_columns
-from tidemill.functions.durable import stage
+from tidemill.functions.durable import side_by_side, stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.functions.moments import ratio
 from tidemill.functions.tails import f_upper_tail
@@ -75,9 +75,11 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 
 
 def _with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    for i, c in enumerate(columns):
-        ranks = stage(average_ranks(df, c).withColumnRenamed("_rank", f"_rank{i}"), "ranks")
-        df = lookup_join(df, ranks, c, "_n")
+    def ranks(i: int) -> DataFrame:
+        return stage(average_ranks(df, columns[i]).withColumnRenamed("_rank", f"_rank{i}"), "ranks")
+
+    for c, found in zip(columns, side_by_side(ranks, range(len(columns)))):
+        df = lookup_join(df, found, c, "_n")
     return df
 
 
@@ -95,18 +97,19 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
     if len(whole) > 1:
         out = ranked(data.select(*map(col, whole)), whole)
-    for a, b in combinations(columns, 2):
-        if not (a in whole and b in whole):
-            both = data.select(col(a), col(b)).filter(col(a).isNotNull() & col(b).isNotNull())
-            part = ranked(both, [a, b])
-            out = part if out is None else out.unionByName(part)
+    def with_gaps(pair: tuple[str, str]) -> DataFrame:
+        a, b = pair
+        return ranked(data.select(col(a), col(b)).filter(col(a).isNotNull() & col(b).isNotNull()), [a, b])
+
+    gappy = [(a, b) for a, b in combinations(columns, 2) if not (a in whole and b in whole)]
+    for part in side_by_side(with_gaps, gappy):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def kendall_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     out = None
-    for a, b in combinations(columns, 2):
-        part = _kendall(df, a, b)
+    for part in side_by_side(lambda pair: _kendall(df, *pair), combinations(columns, 2)):
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -20,8 +20,11 @@ def in_slices(df: DataFrame, order_by: list[str]) -> DataFrame:
     return stage(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
-def within(order_by: list[str]):
-    return Window.partitionBy(SLICE).orderBy(*[col(c).asc_nulls_first() for c in order_by])
+def within(order_by: list[str], backwards: bool = False):
+    """A window over one range. Looking ahead means running backwards: a frame that ends at the
+    current row is extended by one row at a time, one that starts there is worked out anew."""
+    return Window.partitionBy(SLICE).orderBy(*[
+        col(c).desc_nulls_last() if backwards else col(c).asc_nulls_first() for c in order_by])
 
 
 def slice_rows(sliced: DataFrame, *aggregates) -> list:
@@ -82,13 +85,8 @@ def fill_from_neighbours(df: DataFrame, column: str, order_by: list[str], forwar
         next((r["tail"] for r in ends[::-1] if r["tail"] is not None), None)
     kind = df.schema[column].dataType
     joined = join_carry(sliced, rows, [T.StructField("_carry", kind)])
-    window = within(order_by)
-    if forward:
-        near = F.last(col(column), ignorenulls=True).over(
-            window.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        near = F.first(col(column), ignorenulls=True).over(
-            window.rowsBetween(0, Window.unboundedFollowing))
+    near = F.last(col(column), ignorenulls=True).over(
+        within(order_by, backwards=not forward).rowsBetween(Window.unboundedPreceding, 0))
     filled = F.coalesce(near, F.col("_carry"), F.lit(edge).cast(kind))
     return joined.withColumn("_filled", filled).select(
         *[F.col("_filled").alias(c) if c == column else col(c) for c in df.columns])
@@ -112,11 +110,12 @@ def interpolate(df: DataFrame, column: str, order_by: list[str]) -> DataFrame:
     kind = T.StructType([T.StructField("p", T.LongType()), T.StructField("v", T.DoubleType())])
     joined = join_carry(placed, [(s, before[s], after[s]) for s in before],
                         [T.StructField("_prev", kind), T.StructField("_next", kind)])
-    window = Window.partitionBy(SLICE).orderBy("_pos")
-    prev = F.coalesce(F.last(point, ignorenulls=True).over(
-        window.rowsBetween(Window.unboundedPreceding, 0)), F.col("_prev"))
-    following = F.coalesce(F.first(point, ignorenulls=True).over(
-        window.rowsBetween(0, Window.unboundedFollowing)), F.col("_next"))
+
+    def nearest(backwards: bool):
+        return F.last(point, ignorenulls=True).over(
+            within(["_pos"], backwards).rowsBetween(Window.unboundedPreceding, 0))
+
+    prev, following = F.coalesce(nearest(False), F.col("_prev")), F.coalesce(nearest(True), F.col("_next"))
     known = joined.withColumn("_a", prev).withColumn("_b", following)
     a, b = F.col("_a"), F.col("_b")
     step = F.try_divide((F.col("_pos") - a["p"]).cast("double"), (b["p"] - a["p"]).cast("double"))

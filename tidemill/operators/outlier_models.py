@@ -6,6 +6,7 @@ values (a value held by a third of the rows is one row there) and joined back.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,7 +56,8 @@ class ForestFilter:
         buckets = Bucketizer(splits=[float("-inf"), *self.splits, float("inf")], inputCol=value,
                              outputCol=step, handleInvalid="keep")
         marked = buckets.transform(df.withColumn(value, finite(col(self.column))))
-        table = F.array(*[F.lit(s) for s in self.scores])
+        # one literal instead of an expression per score; the optimizer folds it to a constant
+        table = F.from_json(F.lit(json.dumps(self.scores)), "array<double>")
         score = F.when(F.col(value).isNotNull(), F.get(table, F.col(step).cast("int")))
         return marked.withColumn(name, score).drop(value, step)
 

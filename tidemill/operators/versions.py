@@ -18,7 +18,7 @@ class VersionStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._seq = 0
+        self._seq = self._next = 0
 
     def _folder(self, version: int, part: str = "train") -> str:
         return f"{self.path}/v={version}/{part}"
@@ -36,13 +36,13 @@ class VersionStore:
 
     def open(self) -> "VersionStore":
         """Continue a store written earlier."""
-        self._seq = (self.events().agg(F.max("seq")).first()[0] or 0) + 1
+        seq, version = self.events().agg(F.max("seq"), F.max("version")).first()
+        self._seq, self._next = seq + 1, version + 1
         return self
 
     def snapshot(self, df: DataFrame | Split, op: str, params: dict | None = None, keep: int = KEEP) -> int:
         train, test = (df.train, df.test) if isinstance(df, Split) else (df, None)
-        version = 0 if self._seq == 0 else \
-            self.events().filter("event = 'snapshot'").agg(F.max("version")).first()[0] + 1
+        version = self._next
         train.write.mode("errorifexists").parquet(self._folder(version))
         if test is not None:
             test.write.mode("errorifexists").parquet(self._folder(version, "test"))
@@ -50,8 +50,10 @@ class VersionStore:
         self._append("snapshot", version, op, params, rows, train.columns, test is not None)
         if version == 0:
             self._append("pin", 0)
-        for old in expired_versions(self.list(), keep).collect():
-            self._expire(old["version"])
+        self._next += 1
+        if version >= keep:
+            for old in expired_versions(self.list(), keep).collect():
+                self._expire(old["version"])
         return version
 
     def _expire(self, version: int) -> None:

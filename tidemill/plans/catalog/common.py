@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemill.functions.durable import stage
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -86,11 +88,12 @@ def shaped_events(spark, folder) -> DataFrame:
     """Columns of all shapes: skewed, bell-shaped, constant, nearly constant, gappy, unique."""
     bell = " + ".join(
         f"conv(substr(md5(concat(event_id, '_', {i})), 1, 6), 16, 10) / 16777216.0D" for i in range(12))
-    return table(spark, folder, "events").select(
+    shaped = table(spark, folder, "events").select(
         "event_id", "user_id", "event_type",
         F.expr("CASE WHEN event_type <> 'error' THEN value END AS value"),
         F.expr(f"{bell} AS bell"), F.lit(1).alias("always"),
         F.expr("CASE WHEN event_id = 0 THEN 1 ELSE 0 END AS almost"))
+    return stage(shaped, "shaped")  # profiles pass over it several times
 
 
 _BELL = " + ".join(
