@@ -19,13 +19,13 @@ def check(spark, values, **how):
     [3.0] * 900 + list(range(100)), [None, 1.0, 2.0, None, 3.5],
     np.random.default_rng(1).exponential(size=5000).tolist()])
 def test_narrowing_equals_sorting(spark, values):
-    check(spark, values, in_memory_rows=0, gather=10)
+    check(spark, values, in_memory=0, gather=10)
     check(spark, values)
 
 
 def test_narrowing_takes_several_rounds(spark):
     df = spark.range(300_000).selectExpr("cast(pmod(xxhash64(id), 1000003) as double) as x")
-    wide = exact_quantiles(df, ["x"], PROBS, in_memory_rows=0, gather=5)["x"]
+    wide = exact_quantiles(df, ["x"], PROBS, in_memory=0, gather=5)["x"]
     assert wide == pytest.approx(exact_quantiles(df, ["x"], PROBS)["x"], rel=1e-12)
 
 
@@ -37,4 +37,4 @@ def test_empty(spark):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_any_values(spark, values):
-    check(spark, values, in_memory_rows=0, gather=3)
+    check(spark, values, in_memory=0, gather=3)

@@ -16,6 +16,7 @@ from tidemill.operators.valuecounts import column_counts
 
 # Numbers of categories a column may have to be compared
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
+PAIRS_PER_PASS = 250
 
 
 def _pair_frame(df: DataFrame, cells: list[Column]) -> DataFrame:
@@ -50,8 +51,12 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = list(combinations(columns, 2))
     means = df.agg(*[F.avg(col(c).cast("double")) for c in columns]).first()
     x = {c: col(c).cast("double") - F.lit(m) for c, m in zip(columns, means)}
-    frame = _pair_frame(df, _shifted_sums(pairs, x))
-    return frame.select("feature_1", "feature_2", "n", _r(frame).alias("r"))
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        frame = _pair_frame(df, _shifted_sums(pairs[start:start + PAIRS_PER_PASS], x))
+        part = frame.select("feature_1", "feature_2", "n", _r(frame).alias("r"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _report(frame: DataFrame, method: str) -> DataFrame:

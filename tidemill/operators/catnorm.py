@@ -112,10 +112,10 @@ def change_report(before: DataFrame, after_column: Column, column: str, samples:
 def change_summary(counts: DataFrame, samples: int = 5) -> DataFrame:
     """Totals of (before, n, after) rows, with the most frequent changes as samples."""
     changed = F.col("before") != F.col("after")
-    totals = counts.agg(
+    shown = counts.filter(changed).orderBy(F.desc("n"), F.asc("before")).limit(samples).collect()
+    pairs = [F.struct(F.lit(r["before"]).alias("before"), F.lit(r["after"]).alias("after")) for r in shown]
+    return counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows_affected"),
         F.coalesce(F.sum(F.when(changed, F.col("n"))), F.lit(0)).alias("values_changed"),
-        F.count_distinct("before").alias("unique_before"), F.count_distinct("after").alias("unique_after"))
-    shown = counts.filter(changed).orderBy(F.desc("n"), F.asc("before")).limit(samples).agg(
-        F.array_sort(F.collect_list(F.struct("before", "after"))).alias("sample_changes"))
-    return totals.join(F.broadcast(shown))  # one row each
+        F.count_distinct("before").alias("unique_before"), F.count_distinct("after").alias("unique_after"),
+    ).withColumn("sample_changes", F.array(*pairs).cast("array<struct<before:string,after:string>>"))

@@ -50,6 +50,7 @@ def number_rows(sliced: DataFrame, order_by: list[str], name: str, start: int =
 
 
 def global_index(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
+    """``order_by`` must tell rows apart, so that the index is the same every time."""
     return number_rows(in_slices(df, order_by), order_by, name, start).drop(SLICE)
 
 
@@ -64,13 +65,20 @@ def running_total(sliced: DataFrame, order_by: list[str], amount: str, name: str
     return joined.withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_before")
 
 
+def _unbroken(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add a hash of the row as last order column: rows with equal keys can then be cut into ranges
+    anywhere, and fall in the same order every time."""
+    return df.withColumn("_tie", F.xxhash64(*map(col, df.columns))), [*order_by, "_tie"]
+
+
 def _order_struct(order_by: list[str]):
     return F.struct(*[col(c) for c in order_by])
 
 
 def fill_from_neighbours(df: DataFrame, column: str, order_by: list[str], forward: bool) -> DataFrame:
     """Fill NULLs from the nearest earlier (or later) value; the open end takes the first one found."""
-    sliced = in_slices(df, order_by)
+    tied, order_by = _unbroken(df, order_by)
+    sliced = in_slices(tied, order_by)
     seen = col(column).isNotNull()
     key = F.when(seen, _order_struct(order_by))
     ends = slice_rows(sliced, F.min_by(col(column), key).alias("head"),
@@ -94,7 +102,8 @@ def fill_from_neighbours(df: DataFrame, column: str, order_by: list[str], forwar
 
 def interpolate(df: DataFrame, column: str, order_by: list[str]) -> DataFrame:
     """Linear by row position between known neighbours; ends take the nearest known value."""
-    placed = number_rows(in_slices(df, order_by), order_by, "_pos")
+    tied, order_by = _unbroken(df, order_by)
+    placed = number_rows(in_slices(tied, order_by), order_by, "_pos")
     value = col(column).cast("double")
     point = F.when(value.isNotNull(), F.struct(F.col("_pos").alias("p"), value.alias("v")))
     # the same ranges serve the carry: one first and one last known point per range

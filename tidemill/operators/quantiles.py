@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.columns import col
 
-IN_MEMORY_ROWS = 4_000_000
+IN_MEMORY_VALUES = 4_000_000
 GATHER = 100_000
 ACCURACY = 20_000
 
@@ -34,7 +34,7 @@ class _Target:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    in_memory_rows: int = IN_MEMORY_ROWS,
+                    in_memory: int = IN_MEMORY_VALUES,
                     gather: int = GATHER) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of every column, NULLs ignored, as doubles."""
     if not columns:
@@ -44,20 +44,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     counts = dict(zip(names, data.agg(*[F.count(n) for n in names]).first()))
     result: dict[str, list[float | None]] = {}
 
-    small = [n for n in names if 0 < counts[n] <= in_memory_rows]
+    limit = in_memory // len(names)  # one task holds the values of all columns
+    small = [n for n in names if 0 < counts[n] <= limit]
     if small:
         row = data.agg(*[F.percentile(n, F.lit(probs)).alias(n) for n in small]).first()
         result.update({n: list(row[n]) for n in small})
 
     targets: dict[tuple[str, int], _Target] = {}
     for n in names:
-        if counts[n] > in_memory_rows:
+        if counts[n] > limit:
             for p in probs:
                 for rank in {floor((counts[n] - 1) * p), ceil((counts[n] - 1) * p)}:
                     targets[n, rank] = _Target(n, rank, 0, counts[n])
     _narrow(data, list(targets.values()), gather)
     for n in names:
-        if counts[n] > in_memory_rows:
+        if counts[n] > limit:
             result[n] = []
             for p in probs:
                 place = (counts[n] - 1) * p

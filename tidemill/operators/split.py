@@ -115,7 +115,9 @@ def ordered_split(df: DataFrame, test_size: float, order_by: list[str]) -> Split
     """The last rows in ``order_by`` order are the test part."""
     require(df, *order_by)
     position = free_name(df, "_position")
-    placed = global_index(df, order_by, position)
+    tie = free_name(df, "_tie")
+    tied = df.withColumn(tie, F.xxhash64(*map(col, df.columns)))
+    placed = global_index(tied, [*order_by, tie], position)
     rows = df.count()
     cut = rows - test_rows(rows, test_size)
     columns = [col(c) for c in df.columns]

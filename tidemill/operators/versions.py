@@ -16,8 +16,8 @@ EVENTS = ("seq bigint, event string, version int, op string, params map<string,s
 class VersionStore:
     """Versions of one dataset below ``path``; version 0 is always kept."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = KEEP):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
         self._seq = self._next = 0
 
     def _folder(self, version: int, part: str = "train") -> str:
@@ -40,7 +40,7 @@ class VersionStore:
         self._seq, self._next = seq + 1, version + 1
         return self
 
-    def snapshot(self, df: DataFrame | Split, op: str, params: dict | None = None, keep: int = KEEP) -> int:
+    def snapshot(self, df: DataFrame | Split, op: str, params: dict | None = None) -> int:
         train, test = (df.train, df.test) if isinstance(df, Split) else (df, None)
         version = self._next
         train.write.mode("errorifexists").parquet(self._folder(version))
@@ -51,8 +51,8 @@ class VersionStore:
         if version == 0:
             self._append("pin", 0)
         self._next += 1
-        if version >= keep:
-            for old in expired_versions(self.list(), keep).collect():
+        if version >= self.keep:
+            for old in expired_versions(self.list(), self.keep).collect():
                 self._expire(old["version"])
         return version
 

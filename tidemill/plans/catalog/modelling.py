@@ -118,18 +118,14 @@ PLACED = """placed AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY event_id)
     count(*) OVER () - ceil(count(*) OVER () * 0.2) THEN 'train' ELSE 'test' END AS part FROM events)"""
 
 
-def store(spark):
-    return versions.VersionStore(spark, fresh_path(spark, "versions"))
-
-
 def history(spark, d, keep=versions.KEEP):
     """Load customers, keep those without debt, add a column."""
-    kept = store(spark)
+    kept = versions.VersionStore(spark, fresh_path(spark, "versions"), keep)
     df = c.table(spark, d, "customer")
-    kept.snapshot(df, "load_data", {"dataset_name": "customer"}, keep)
+    kept.snapshot(df, "load_data", {"dataset_name": "customer"})
     solvent = df.filter("c_acctbal >= 0")
-    kept.snapshot(solvent, "remove_outliers", {"column": "c_acctbal"}, keep)
-    kept.snapshot(solvent.withColumn("c_half", F.col("c_acctbal") / 2), "create_feature", {"name": "c_half"}, keep)
+    kept.snapshot(solvent, "remove_outliers", {"column": "c_acctbal"})
+    kept.snapshot(solvent.withColumn("c_half", F.col("c_acctbal") / 2), "create_feature", {"name": "c_half"})
     return kept
 
 
