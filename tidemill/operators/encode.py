@@ -38,6 +38,7 @@ class Encoder:
     drop_original: bool = True
     unknown: str = "ignore"
     facts: dict = field(default_factory=dict)
+    helpers: dict[str, Column] = field(default_factory=dict)  # worked out once per row for all new columns
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, self.column)
@@ -48,6 +49,7 @@ class Encoder:
         joined = prepared
         if self.mapping is not None:
             joined = lookup_join(prepared, self.mapping, self.column, "_n")
+        joined = joined.withColumns(self.helpers) if self.helpers else joined
         given = col(self.column).isNotNull()
         made = {n: F.when(given, c) for n, c in self.make(df).items()}
         if self.unknown == "error":
@@ -146,8 +148,8 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
     if method == "hashing":
         buckets = n_components or HASH_BUCKETS
         return Encoder(new_columns=[f"{name}_hash_{i}" for i in range(buckets)], make=lambda _: {
-            f"{name}_hash_{i}": (_md5_bucket(col(column), buckets) == i).cast("int")
-            for i in range(buckets)}, facts={"n_buckets": buckets}, **common)
+            f"{name}_hash_{i}": (F.col("_bucket") == i).cast("int") for i in range(buckets)},
+            helpers={"_bucket": _md5_bucket(col(column), buckets)}, facts={"n_buckets": buckets}, **common)
 
     # target and leave_one_out
     if target is None:

@@ -15,8 +15,15 @@ from tidemill.functions.durable import stage
 SLICE = "_slice"
 
 
-def in_slices(df: DataFrame, order_by: list[str]) -> DataFrame:
-    ranged = df.repartitionByRange(*[col(c).asc_nulls_first() for c in order_by])
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_slices(df: DataFrame, order_by: list[str], ranges: int | None = None) -> DataFrame:
+    """Small ranges are merged at run time unless ``ranges`` fixes their number, for work that is heavy
+    on few bytes."""
+    keys = [col(c).asc_nulls_first() for c in order_by]
+    ranged = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
     return stage(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 

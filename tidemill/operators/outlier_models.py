@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemill.functions.columns import ColumnError, col, finite, free_name, require_numeric
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
-from tidemill.operators.ordered import SLICE, in_slices
+from tidemill.operators.ordered import SLICE, in_slices, shuffle_partitions
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.sampling import position_blocks, values_at
 
@@ -165,30 +165,31 @@ def fit_local_outlier_factor(df: DataFrame, column: str, threshold: float | None
         return FactorFilter(column)
     k = min(NEIGHBOURS, n - 1)
     counts = data.groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
-    sliced = _with_halo(in_slices(counts, ["x"]), 3 * k)
+    ranges = shuffle_partitions(df)
+    sliced = _with_halo(in_slices(counts, ["x"], ranges), 3 * k).repartition(ranges, "_part")
     around = Window.partitionBy("_part").orderBy("x")
 
-    def neighbours(extra: list[str]):
-        """The values within k places, each as (distance, value, copies, extra...)."""
-        entry = F.struct("x", "_n", *extra)
-        return F.collect_list(entry).over(around.rowsBetween(-k, k))
+    def neighbours(fields: list[str]):
+        """What is known of the values within k places."""
+        return F.collect_list(F.struct(*fields)).over(around.rowsBetween(-k, k))
 
     # 1. the k nearest rows of each value: its own other copies first, then outwards
-    near = sliced.withColumn("_all", neighbours([]))
+    near = sliced.withColumn("_all", neighbours(["x", "_n"]))
     spread = F.array_sort(F.transform("_all", lambda e: F.struct(
         F.abs(e["x"] - F.col("x")).alias("d"), e["x"].alias("x"),
         F.when(e["x"] == F.col("x"), e["_n"] - 1).otherwise(e["_n"]).alias("m"))))
-    near = near.withColumn("_near", _first_k(spread, k)).drop("_all")
-    near = near.withColumn("_kd", F.array_max(F.transform("_near", lambda e: e["d"])))
+    copies = F.flatten(F.transform(spread, lambda e: F.array_repeat(
+        F.struct(e["d"].alias("d"), e["x"].alias("x")), F.least(e["m"], F.lit(k)).cast("int"))))
+    near = near.withColumn("_near", F.slice(copies, 1, k)).drop("_all")
+    near = near.withColumn("_kd", F.element_at("_near", -1)["d"])
     # 2. local density, from the larger of distance and the neighbour's own reach
-    near = near.withColumn("_reach", neighbours(["_kd"]))
-    reach = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + e["m"] * F.greatest(
-        e["d"], F.filter("_reach", lambda o: o["x"] == e["x"])[0]["_kd"]))
+    near = near.withColumn("_reach", F.map_from_entries(neighbours(["x", "_kd"])))
+    reach = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + F.greatest(
+        e["d"], F.try_element_at("_reach", e["x"])))
     near = near.withColumn("_lrd", 1.0 / (reach / F.lit(float(k)) + 1e-10)).drop("_reach")
     # 3. neighbours' densities relative to the value's own
-    near = near.withColumn("_dens", neighbours(["_lrd"]))
-    total = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + e["m"] * F.filter(
-        "_dens", lambda o: o["x"] == e["x"])[0]["_lrd"])
+    near = near.withColumn("_dens", F.map_from_entries(neighbours(["x", "_lrd"])))
+    total = F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + F.try_element_at("_dens", e["x"]))
     factors = stage(near.withColumn("lof", total / F.lit(float(k)) / F.col("_lrd"))
                     .filter(F.col("_part") == F.col(SLICE)).select("x", "_n", "lof"), "lof")
     fitted = FactorFilter(column, factors)
@@ -197,20 +198,6 @@ def fit_local_outlier_factor(df: DataFrame, column: str, threshold: float | None
     return fitted
 
 
-def _first_k(entries, k: int):
-    """Take entries in order until their copies make up k rows."""
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.array().cast(
-        "array<struct<d:double,x:double,m:bigint>>").alias("kept"))
-
-    def take(acc, e):
-        m = F.least(e["m"], F.lit(k) - acc["seen"])
-        kept = F.when(m > 0, F.concat(acc["kept"], F.array(F.struct(
-            e["d"].alias("d"), e["x"].alias("x"), m.alias("m"))))).otherwise(acc["kept"])
-        return F.struct((acc["seen"] + F.greatest(m, F.lit(0))).alias("seen"), kept.alias("kept"))
-
-    return F.aggregate(entries, start, take)["kept"]
-
-
 def _with_halo(sliced: DataFrame, reach: int) -> DataFrame:
     """Copy the ``reach`` values next to each range into it, under ``_part``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemill.functions.columns import categorical_columns, col, numeric_columns, require
-from tidemill.functions.moments import ratio, sample_kurtosis, sample_skewness
+from tidemill.functions.moments import sample_kurtosis, sample_skewness
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.valuecounts import value_counts
 
@@ -22,6 +22,14 @@ def stack_columns(df: DataFrame, columns: list[str], stats) -> DataFrame:
         .select("cell.*")
 
 
+def column_stats(df: DataFrame, columns: list[str], stats) -> DataFrame:
+    """Like ``stack_columns`` for numeric columns and many statistics: the columns are stacked first,
+    so the compiled aggregate is that of one column. Partial results leave each task, not rows."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.*")
+    return long.groupBy("column").agg(*[v.alias(k) for k, v in stats(F.col("x")).items()])
+
+
 def attach(frame: DataFrame, key: str, values: dict[str, list], names: list[str]) -> DataFrame:
     """Add per-column driver values (one row per column name) to a report frame."""
     if not values:
@@ -38,8 +46,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
     columns = columns or numeric_columns(df)
     require(df, *columns)
 
-    def stats(c: str) -> dict[str, Column]:
-        x = col(c).cast("double")
+    def stats(x: Column) -> dict[str, Column]:
         return {
             "mean": F.round(F.coalesce(F.avg(x), F.lit(0.0)), digits),
             "std": F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), digits),
@@ -50,7 +57,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
         }
 
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    frame = attach(stack_columns(df, columns, stats), "column", quartiles, ["q25", "q50", "q75"])
+    frame = attach(column_stats(df, columns, stats), "column", quartiles, ["q25", "q50", "q75"])
     return frame.select("column", "mean", "std", "min", "max", "q25", "q50", "q75",
                         "skewness", "kurtosis", "num_zeros", "num_negatives")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemill.functions.columns import col, numeric_columns
 from tidemill.functions.durable import stage
 from tidemill.functions.moments import ratio, sample_kurtosis, sample_skewness
-from tidemill.operators.profile import stack_columns
+from tidemill.operators.profile import column_stats, stack_columns
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.valuecounts import value_counts
 
@@ -42,18 +42,17 @@ def quality_missing(df: DataFrame) -> DataFrame:
 def quality_outliers(df: DataFrame) -> DataFrame:
     """Pass 1 takes shape and quartiles of all columns, pass 2 counts against the bounds."""
     columns = numeric_columns(df)
-    shape = stack_columns(df, columns, lambda c: {
-        "n": F.count(col(c)), "mean": F.avg(col(c).cast("double")),
-        "std": F.stddev_samp(col(c).cast("double")),
-        "skewness": sample_skewness(col(c)), "kurtosis": sample_kurtosis(col(c))})
+    shape = column_stats(df, columns, lambda x: {
+        "n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
+        "skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)})
     moments = {r["column"]: r for r in shape.collect()}  # one row per column
     quartiles = exact_quantiles(df, columns, [0.25, 0.75])
 
     counted, facts = {}, {}
     for c in columns:
-        m, (q1, q3) = moments[c], quartiles[c]
-        if m["n"] < MIN_OUTLIER_ROWS:
+        if c not in moments or moments[c]["n"] < MIN_OUTLIER_ROWS:
             continue
+        m, (q1, q3) = moments[c], quartiles[c]
         low, high = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
         x = col(c).cast("double")
         iqr = x.isNotNull() & ((x < low) | (x > high))
