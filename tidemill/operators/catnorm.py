@@ -11,7 +11,6 @@ from tidemill.functions.columns import ColumnError, col, q, require_categorical
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.valuecounts import column_counts
-from tidemill.session import ship_package
 
 # Letters and marks that do not decompose into a base letter and an accent
 PLAIN_LETTERS = {
@@ -58,7 +57,6 @@ def normalize_text(df: DataFrame, column: str, steps: tuple[str, ...] = STEPS) -
         raise ColumnError(f"unknown steps: {unknown}")
     out, text = df, col(column).cast("string")
     if "unicode_normalize" in steps or "strip_accents" in steps:
-        ship_package(df.sparkSession)
         unusual = column_counts(df, column).filter(text.rlike(r"[^\x00-\x7F]"))
         folded = stage(unusual.select(q(column), F.col("n").alias("_n"), _fold_characters(
             text, "unicode_normalize" in steps, "strip_accents" in steps).alias("_folded")), "folded")

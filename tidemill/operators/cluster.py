@@ -12,7 +12,6 @@ from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.ordered import global_index
 from tidemill.operators.valuecounts import column_counts
-from tidemill.session import ship_package
 
 # Default score and the largest number of distinct values compared
 SCORE, MAX_VALUES = 85, 500
@@ -94,7 +93,6 @@ def similar_pairs(values: DataFrame, threshold: float, method: str) -> DataFrame
     met = (grams.alias("a").join(grams.alias("b"), "gram").filter(close)
            .select(F.col("a._rank").alias("better"), F.col("b._rank").alias("worse"),
                    F.col("a.text").alias("x"), F.col("b.text").alias("y")).distinct())
-    ship_package(values.sparkSession)
     return met.filter(similarity(F.col("x"), F.col("y"), method == "partial_ratio") >= threshold) \
         .select("better", "worse")
 

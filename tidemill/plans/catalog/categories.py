@@ -146,7 +146,8 @@ QUERIES = {
         f"WITH {c.DIRTY_TYPES} SELECT event_id, {CLEAN} AS event_type FROM dirty_types"),
     "normalize_documents": (lambda spark, d: catnorm.normalize_text(
         c.table(spark, d, "conversations").select("conv_id", "turn", "text"), "text",
-        ("fix_unicode", "strip_whitespace", "lowercase")), None),
+        ("fix_unicode", "strip_whitespace", "lowercase")),
+        "SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM conversations"),
     "normalize_report": (normalize_report, f"""WITH {c.DIRTY_TYPES}, n AS (SELECT event_type AS b, {CLEAN} AS a
             FROM dirty_types) SELECT count(*) AS rows_affected, count(*) FILTER (WHERE a <> b) AS values_changed,
         count(DISTINCT b) AS unique_before, count(DISTINCT a) AS unique_after FROM n"""),

@@ -30,6 +30,33 @@ def outliers_sql(method):
         SELECT g.* FROM gappy_events g, b WHERE value IS NULL OR value BETWEEN low AND high"""
 
 
+def customers_lof(spark, d):
+    return remove_outliers(c.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "lof", 0.05)
+
+
+# the factor by its definition, over all pairs of customers; equal distances go by value
+LOF = """WITH v AS (SELECT c_custkey AS k, c_acctbal AS x FROM customer),
+    near AS (SELECT a.k AS k, b.k AS o, abs(a.x - b.x) AS d FROM v a JOIN v b ON a.k <> b.k
+        QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY abs(a.x - b.x), b.x) <= 20),
+    kd AS (SELECT k, max(d) AS kd FROM near GROUP BY k),
+    lrd AS (SELECT near.k, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd ON kd.k = near.o GROUP BY near.k),
+    lof AS (SELECT near.k, avg(p.lrd) / any_value(own.lrd) AS lof FROM near JOIN lrd p ON p.k = near.o
+        JOIN lrd own ON own.k = near.k GROUP BY near.k)
+    SELECT c_custkey, c_acctbal FROM customer JOIN lof ON k = c_custkey
+    WHERE lof <= (SELECT quantile_cont(lof, 0.95) FROM lof)"""
+
+
+def random_sample_report(spark, d):
+    """Nothing stays missing, known values stay, and every draw is a value seen before."""
+    before = c.gappy_events(spark, d).select("event_id", F.col("value").alias("old"))
+    after = impute_random_sample(spark, d).select("event_id", "value")
+    seen = before.filter("old is not null").groupBy(F.col("old").alias("value")).agg(F.lit(1).alias("seen"))
+    joined = after.join(before, "event_id").join(seen, "value", "left")
+    return joined.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value").isNull()).alias("missing"),
+                      F.count_if(F.col("old") == F.col("value")).alias("kept"),
+                      F.count_if(F.col("seen").isNull()).alias("foreign_values"))
+
+
 def outliers_report(spark, d):
     df = c.gappy_events(spark, d)
     return fit_outliers(df, "value", "iqr").report(df)
@@ -76,7 +103,8 @@ def impute_random_sample(spark, d):
 QUERIES = {
     **{f"outliers_{m}": (outliers(m), outliers_sql(m)) for m in BOUNDS},
     "outliers_isolation_forest": (outliers("isolation_forest", 0.05), None),
-    "outliers_lof": (outliers("lof", 0.05), None),
+    "outliers_lof": (customers_lof, LOF),
+    "outliers_lof_events": (outliers("lof", 0.05), None),
     "outliers_report": (outliers_report, f"""
         WITH {c.GAPPY_EVENTS}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
             FROM gappy_events), b AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)
@@ -122,6 +150,8 @@ QUERIES = {
             WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0
             ELSE v0 + (v1 - v0) * ((i - i0) / CAST(i1 - i0 AS DOUBLE)) END, 4) AS value FROM w"""),
     "impute_random_sample": (impute_random_sample, None),
+    "impute_random_sample_report": (random_sample_report, f"""WITH {c.GAPPY_EVENTS} SELECT count(*) AS total,
+        CAST(0 AS BIGINT) AS missing, count(value) AS kept, CAST(0 AS BIGINT) AS foreign_values FROM gappy_events"""),
     "impute_knn": (impute_knn, f"""
         WITH {c.GAPPY_PARTS}, g AS (SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size,
             p_retailprice FROM gappy_parts),

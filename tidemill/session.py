@@ -1,16 +1,9 @@
-"""Session defaults for local work, and shipping this package to the executors."""
+"""Session defaults for local work; on a cluster the session comes from the submitter."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
-
-
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("tidemill")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,15 +17,3 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per application, for the Arrow helpers."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tidemill-pkg-"), "tidemill"),
-                                  "zip", os.path.dirname(here), os.path.basename(here))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
