@@ -123,6 +123,20 @@ def test_knn_equals_brute_force(spark, seed, gaps):
     assert np.allclose(got, brute_knn(data, 2, 4))
 
 
+def test_knn_with_a_dense_spot_and_far_rows(spark):
+    """Most rows sit in a tiny spot, one is very far away: cells start small and grow as needed."""
+    rng = np.random.default_rng(9)
+    data = np.column_stack([rng.normal(0, 1e-3, 400), rng.normal(0, 1e-3, 400), rng.uniform(0, 1, 400)])
+    data[:20, :2] = rng.uniform(-100, 100, (20, 2))
+    data[0, 0] = 1e7
+    data[rng.random(400) < .2, 2] = np.nan
+    data[0, 2] = np.nan
+    df = nan_to_null(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)],
+                                           "i int, a double, b double, c double"))
+    got = column(fit_neighbour_fill(df, "c", ["i"], ["a", "b", "c"], 3).transform(df), "c")
+    assert np.allclose(got, brute_knn(data, 2, 3))
+
+
 def plain_rounds(data, rounds):
     """Round-robin regression on a whole matrix in memory."""
     from tidemill.operators.impute_iterative import _bayesian_ridge

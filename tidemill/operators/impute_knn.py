@@ -19,6 +19,8 @@ from tidemill.functions.lookup import lookup_join
 
 GROWTH = 4.0
 GRID_COLUMNS = 2
+SHRINK = 16.0
+FULL_CELL = 50
 
 
 @dataclass
@@ -98,7 +100,8 @@ def _search(queries: DataFrame, donors: DataFrame, dims: list[str], f: list[str]
     volume = 1.0
     for c in grid:
         volume *= reach[c] or 1.0
-    side = (volume * k / max(d[0], 1)) ** (1.0 / len(grid))
+    even = (volume * k / max(d[0], 1)) ** (1.0 / len(grid))
+    side = _fine_enough(donors, grid, even, k)
 
     squared, present = F.lit(0.0), F.lit(0)
     for c in f:
@@ -137,6 +140,18 @@ def _search(queries: DataFrame, donors: DataFrame, dims: list[str], f: list[str]
         side *= GROWTH
 
 
+def _fine_enough(donors: DataFrame, grid: list[str], side: float, k: int) -> float:
+    """Shrink the first cells until the fullest one holds few donors, so that a dense spot is searched
+    in small cells; rows far from it take part in later, wider rounds only if they need them."""
+    smallest = side / SHRINK ** 12
+    while side > smallest:
+        cells = donors.groupBy(*[F.floor(F.col(c) / side) for c in grid]).agg(F.count(F.lit(1)).alias("n"))
+        if (cells.agg(F.max("n")).first()[0] or 0) <= FULL_CELL * k:
+            break
+        side /= SHRINK
+    return side
+
+
 def fit_neighbour_fill(df: DataFrame, column: str, key: list[str], columns: list[str],
                        k: int = 5) -> NeighbourFill:
     """``columns`` are all columns of the distance; ``key`` orders donors at equal distance.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("tidemill")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
