@@ -11,7 +11,7 @@ from tidemill.functions.durable import side_by_side, stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.functions.moments import ratio
 from tidemill.functions.tails import f_upper_tail
-from tidemill.operators.ordered import SLICE, global_index, in_slices, number_rows, running_total
+from tidemill.operators.ordered import SLICE, global_index, in_slices, running_total
 from tidemill.operators.valuecounts import column_counts
 
 # Numbers of categories a column may have to be compared

@@ -12,6 +12,7 @@ from tidemill.functions.columns import ColumnError, col, numeric_columns, requir
 
 METHODS = ("pca", "truncated_svd", "lda")
 MAX_CLASSES = 1000
+PRODUCTS_PER_PASS = 500
 
 
 @dataclass
@@ -81,7 +82,6 @@ def fit_reduction(df: DataFrame, method: str, n_components: int, target: str | N
     z = [(col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(columns, mean, scale)]
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    products = F.array(*[F.sum(z[i] * z[j]) for i, j in pairs])
     common = dict(method=method, columns=columns, mean=mean.tolist(), scale=scale.tolist(),
                   target=target, keep=list(keep or []))
 
@@ -93,12 +93,16 @@ def fit_reduction(df: DataFrame, method: str, n_components: int, target: str | N
 
     if method in ("pca", "truncated_svd"):
         # the columns are centred, so both are the eigenvectors of the same matrix
-        values, vectors = np.linalg.eigh(square(df.agg(products).first()[0]) / n)
+        sums: list[float] = []
+        for start in range(0, len(pairs), PRODUCTS_PER_PASS):
+            some = pairs[start:start + PRODUCTS_PER_PASS]
+            sums += df.agg(F.array(*[F.sum(z[i] * z[j]) for i, j in some])).first()[0]
+        values, vectors = np.linalg.eigh(square(sums) / n)
         best = np.argsort(values)[::-1][:n_components]
         share = np.maximum(values[best], 0.0) / max(float(values.sum()), 1e-300)
         return Projection(weights=_facing(vectors[:, best]).tolist(), explained=share.tolist(), **common)
 
-    rows = _per_class(df, target, z, products)
+    rows = _per_class(df, target, z, F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]))
     if any(r["label"] is None for r in rows):
         raise ColumnError("the target has missing values")
     if n_components > len(rows) - 1:
