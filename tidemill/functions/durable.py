@@ -7,7 +7,6 @@ measured statistics to choose join strategies from.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -16,17 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder; where none is set, a folder in its warehouse. Never a temporary folder:
+    the executors of a cluster could not read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-    return context.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -45,3 +39,13 @@ def side_by_side(work: Callable, items: Iterable, at_once: int = 4) -> list:
     """Run independent jobs at the same time; small ones would leave most of a cluster idle."""
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(work, items))
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables whose every reader has been written elsewhere."""
+    for df in staged:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if f"{shared_folder(spark).split(':')[-1].lstrip('/')}/tidemill/" in folder.toString():
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
