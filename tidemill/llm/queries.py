@@ -5,9 +5,11 @@ from __future__ import annotations
 from tidemill.llm.block_names import OP1_SQL, op1_block_naming
 from tidemill.llm.hilbert_shards import op2_hilbert_shards
 from tidemill.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tidemill.llm.near_dups import op8_near_dups
 
 QUERIES = {
     "op1_block_naming": (op1_block_naming, OP1_SQL),
     "op2_hilbert_shards": (op2_hilbert_shards, None),
+    "op8_near_dups": (op8_near_dups, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
