@@ -78,27 +78,33 @@ def in_order(df: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
     return out.drop("_at", "_part", "_rows", "_weight")
 
 
-def cut_points(df: DataFrame, name: str, bits: int) -> list:
-    """The smallest value of each bin but the first: at most 2**bits - 1 values, from the counts of all values."""
+def bin_starts(df: DataFrame, name: str, bits: int) -> list[tuple[int, object]]:
+    """(bin, its smallest value) of the bins in use: at most 2**bits, from the counts of all values.
+
+    A value's bin is where the middle of its rows lies among all rows, so a column of few values keeps them far apart.
+    """
     counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
     ordered = in_order(counts, name, weight="n")
     total = ordered.agg(F.sum("n")).first()[0] or 1
     middle = (F.col("before") * 2 + F.col("n")) / (2 * total)
-    bins = ordered.groupBy(F.floor(middle * (1 << bits)).alias("bin")).agg(F.min(name).alias("low"))
-    return sorted(r["low"] for r in bins.collect())[1:]
+    bins = ordered.groupBy(F.floor(middle * (1 << bits)).cast("int").alias("bin")).agg(F.min(name).alias("low"))
+    return sorted((r["bin"], r["low"]) for r in bins.collect())
 
 
 def curve_places(narrow: DataFrame, dimensions: list[str], bits: int) -> DataFrame:
-    """``narrow`` with ``bins`` (an array) and ``curve``. A null falls in the first bin of its column."""
+    """``narrow`` with ``bins`` (an array) and ``curve``. A null falls in bin 0 of its column."""
     def reached(value: Column):
-        return lambda cut: cut <= value
+        return lambda start: start <= value
 
     bins = []
     for name in dimensions:
-        cuts = cut_points(narrow, name, bits)
-        low = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{dict(narrow.dtypes)[name]}>")
+        starts = bin_starts(narrow, name, bits)
+        if not starts:
+            bins.append(F.lit(0))
+            continue
+        lows, numbers = (F.array(*map(F.lit, part)) for part in ([low for _, low in starts], [k for k, _ in starts]))
         bins.append(F.when(F.col(name).isNull(), F.lit(0)).otherwise(
-            F.size(F.filter(low, reached(F.col(name))))))
+            F.element_at(numbers, F.greatest(F.lit(1), F.size(F.filter(lows, reached(F.col(name))))))))
     placed = narrow.withColumn("bins", F.array(*bins))
     return placed.withColumn("curve", curve_index([placed["bins"][k] for k in range(len(dimensions))], bits))
 
