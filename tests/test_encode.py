@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.columns import ColumnError
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
+from tidemill.operators.split import Split
 from tidemill.operators.encode import encode_report, encode_risk, fit_encoder, unmapped_categories
 
 COLOR = ["red", "blue", "green", "blue", "red", "green", None, "red"]
@@ -53,10 +54,16 @@ def test_target_and_leave_one_out(df):
     w = 1 / (1 + math.exp(-(n - 20)))
     out = column(encoded(df, "target", target="target"), "color_target")
     assert out[0] == pytest.approx(prior * (1 - w) + mean * w) and out[6] is None
-    loo = column(encoded(df, "leave_one_out", target="target"), "color_loo")
+    loo = column(fit_encoder(df, "color", "leave_one_out", target="target").fit_transform(df), "color_loo")
     assert loo[0] == pytest.approx((2 - y[0]) / 2) and loo[7] == pytest.approx((2 - y[7]) / 2)
     fitted = fit_encoder(df, "color", "leave_one_out", target="target")
     assert column(fitted.transform(df.drop("target")), "color_loo")[0] == pytest.approx(2 / 3)
+    unseen = df.sparkSession.createDataFrame([(0, "red", 100), (1, "pink", 7)], "i int, color string, target int")
+    assert column(fitted.transform(unseen), "color_loo") == [pytest.approx(2 / 3), 0.5]
+    test = df.limit(0).unionByName(unseen, allowMissingColumns=True)
+    parts = Split(df, test).apply(fitted)
+    assert column(parts.train, "color_loo")[0] == pytest.approx(0.5)
+    assert column(parts.test, "color_loo") == [pytest.approx(2 / 3), 0.5]
 
 
 def test_binary_and_hashing(df):
@@ -69,6 +76,8 @@ def test_binary_and_hashing(df):
         assert column(out, f"color_hash_{spot}")[0] == 1
         row = out.orderBy("i").first()
         assert sum(row[f"color_hash_{i}"] for i in range(buckets)) == 1
+        risk = fit_encoder(df, "color", "hashing", n_components=buckets).facts["collision_risk"]
+        assert risk == pytest.approx(1 - (1 - 1 / buckets) ** 2)
 
 
 def test_unknown_values(df, spark):
@@ -77,6 +86,17 @@ def test_unknown_values(df, spark):
     strict = fit_encoder(df, "color", "label", unknown="error")
     with pytest.raises(Exception, match="unknown category"):
         strict.transform(new).collect()
+    for method, kw in (("one_hot", {}), ("ordinal", {"ordinal_mapping": {"red": 1, "blue": 2, "green": 3}}), ("label", {}),
+                       ("binary", {"order_by": ["i"]}), ("target", {"target": "target"}), ("frequency", {}),
+                       ("leave_one_out", {"target": "target"})):
+        strict, lax = (fit_encoder(df, "color", method, unknown=u, **kw) for u in ("error", "ignore"))
+        assert strict.transform(df).dtypes == lax.transform(df).dtypes  # refusing changes no type
+        assert strict.transform(df).count() == 8
+        with pytest.raises(Exception, match="unknown category"):
+            strict.transform(new).collect()
+    gaps = df.withColumn("target", F.expr("CASE WHEN color <> 'red' THEN target END"))
+    known = fit_encoder(gaps, "color", "target", target="target", unknown="error")
+    assert known.transform(gaps).count() == 8  # red is known though its targets are all missing
     filled = fit_encoder(df, "color", "label", unknown="new_category")
     assert column(filled.transform(df), "color_encoded")[6] == 0  # "__unknown__" sorts first
 

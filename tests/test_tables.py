@@ -77,8 +77,8 @@ def test_run_log(spark):
     log = RunLog(spark).add("load_data", dataset_name="t").add("mystery").add(
         "train_test_split", test_size=0.2, train_rows=8, test_rows=2)
     said = column(run_report(log.table()), "description", "step")
-    assert said == ["Step 1: Loaded dataset 't'.", "Step 2: Unknown Action (mystery)",
-                    "Step 3: Split data (Test size: 0.2). Train: 8 rows, Test: 2 rows."]
+    assert said == ["1. load data with dataset name t", "2. mystery",
+                    "3. train test split with test rows 2; test size 0.2; train rows 8"]
     assert log.export(fresh_path(spark, "log")).count() == 3
 
 

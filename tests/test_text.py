@@ -29,14 +29,14 @@ def test_normalize(spark):
 
 
 def test_harmonize(spark):
-    df = words(spark, ["united states", "u.s.", "USA", "united kingdom", "uk", "france", None, "america",
-                       "unusual", "causality", "from the uk to america"])
-    out = catnorm.harmonize_values(df, "w", {"usa": ["united states", "u.s.", "america"],
-                                            "uk": ["united kingdom", "great britain"]})
-    assert column(out, "w") == ["usa", "usa", "usa", "uk", "uk", "france", None, "usa", "unusual", "causality",
-                                "from the uk to usa"]
-    strict = catnorm.harmonize_values(df, "w", {"usa": ["america"]}, case_sensitive=True)
-    assert column(strict, "w")[2] == "USA"
+    df = words(spark, ["soft drink", "s.d.", "SODA", "black tea", "tea", "milk", None, "pop",
+                       "sodas", "teatime", "from the tea to pop"])
+    out = catnorm.harmonize_values(df, "w", {"soda": ["soft drink", "s.d.", "pop"],
+                                            "tea": ["black tea", "green tea"]})
+    assert column(out, "w") == ["soda", "soda", "soda", "tea", "tea", "milk", None, "soda", "sodas", "teatime",
+                                "from the tea to soda"]
+    strict = catnorm.harmonize_values(df, "w", {"soda": ["pop"]}, case_sensitive=True)
+    assert column(strict, "w")[2] == "SODA"
 
 
 def lcs_ratio(a, b):
@@ -62,7 +62,7 @@ def greedy(counts, threshold):
 @pytest.mark.parametrize("threshold", [85, 70])
 def test_clusters_equal_the_sequential_rule(spark, threshold):
     rng = random.Random(1)
-    seeds = ["california", "new york", "texas", "oregon", "new jersey", "nevada"]
+    seeds = ["peppermint", "red clay", "topaz", "saffron", "red carpet", "indigo"]
     counts = {}
     for _ in range(150):
         word = list(rng.choice(seeds))
@@ -75,15 +75,24 @@ def test_clusters_equal_the_sequential_rule(spark, threshold):
 
 
 def test_cluster_fixture(spark):
-    df = words(spark, ["california", "califronia", "califonia", "california", "new york", "new yrok", None, "texas"])
+    df = words(spark, ["peppermint", "pepperimnt", "pepermint", "peppermint", "red clay", "red clya", None, "topaz"])
     out = column(cluster.cluster_values(df, "w", 80), "w")
-    assert out == ["california"] * 4 + ["new york"] * 2 + [None, "texas"]
-    fixed = cluster.cluster_values(df, "w", 80, override={"texas": "TX", "califonia": "CA"})
-    assert column(fixed, "w") == ["california", "california", "CA", "california", "new york", "new york", None, "TX"]
+    assert out == ["peppermint"] * 4 + ["red clay"] * 2 + [None, "topaz"]
+    fixed = cluster.cluster_values(df, "w", 80, override={"topaz": "TZ", "pepermint": "PM"})
+    assert column(fixed, "w") == ["peppermint", "peppermint", "PM", "peppermint", "red clay", "red clay", None, "TZ"]
     report = cluster.cluster_report(cluster.cluster_map(df, "w", 80)).orderBy("canonical").collect()
-    assert [(r["canonical"], r["frequency"], r["size"]) for r in report] == [("california", 4, 3), ("new york", 2, 2)]
+    assert [(r["canonical"], r["frequency"], r["size"]) for r in report] == [("peppermint", 4, 3), ("red clay", 2, 2)]
+    many = spark.range(600).select(F.md5(F.col("id").cast("string")).alias("w"))
+    assert cluster.cluster_map(many, "w", 90).filter("value = canonical").count() == 600
     with pytest.raises(ColumnError):
-        cluster.cluster_values(spark.range(600).select(F.concat(F.lit("v"), "id").alias("w")), "w")
+        cluster.cluster_values(many, "w", max_values=500)
+
+
+def test_short_values_inside_longer_ones(spark):
+    df = words(spark, ["Volt", "Volt Corp", "Volt", "Z", "Z grade", "Z grade", "other"])
+    for threshold in (95, 85):
+        got = {r["value"]: r["canonical"] for r in cluster.cluster_map(df, "w", threshold, "partial_ratio").collect()}
+        assert got == {"Volt": "Volt", "Volt Corp": "Volt", "Z grade": "Z grade", "Z": "Z grade", "other": "other"}
 
 
 def test_scorers(spark):
@@ -95,9 +104,9 @@ def test_scorers(spark):
 
 
 def test_spelling_groups_and_topics(spark):
-    df = words(spark, ["Google", "google", "Gogle", "Microsoft", "Microsft", "Apple", None, "apple", "Microsoft"])
+    df = words(spark, ["Lantern", "lantern", "Lanern", "Driftwood", "Driftwod", "Maple", None, "maple", "Driftwood"])
     out = column(cluster.dedupe_values(df, "w"), "w")
-    assert out[6] is None and out[4] == "Microsoft" and len(set(out)) < 8
+    assert out[6] is None and out[4] == "Driftwood" and len(set(out)) < 8
     topics = cluster.topic_encode(df, "w", 3)
     assert [c for c in topics.columns if c.startswith("w_gap")] == ["w_gap_0", "w_gap_1", "w_gap_2"]
     rows = topics.orderBy("i").collect()

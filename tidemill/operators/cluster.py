@@ -13,8 +13,9 @@ from tidemill.functions.lookup import lookup_join
 from tidemill.operators.ordered import global_index
 from tidemill.operators.valuecounts import column_counts
 
-# Default score and the largest number of distinct values compared
-SCORE, MAX_VALUES = 85, 500
+# Fixed value: default score
+SCORE = 85
+TOPIC_BUCKETS = 1 << 15
 METHODS = ("ratio", "partial_ratio", "token_sort_ratio")
 
 
@@ -90,13 +91,35 @@ def similar_pairs(values: DataFrame, threshold: float, method: str) -> DataFrame
     if method != "partial_ratio":
         bound = F.lit(threshold / 100.0)
         close = close & (F.least(length_a, length_b) * 2 >= bound * (length_a + length_b) - 1e-9)
+    short = shared_run(threshold)
     met = (grams.alias("a").join(grams.alias("b"), "gram").filter(close)
            .select(F.col("a._rank").alias("better"), F.col("b._rank").alias("worse"),
-                   F.col("a.text").alias("x"), F.col("b.text").alias("y")).distinct())
-    return met.filter(similarity(F.col("x"), F.col("y"), method == "partial_ratio") >= threshold) \
+                   F.col("a.text").alias("x"), F.col("b.text").alias("y")))
+    if method == "partial_ratio" and short > 1:
+        met = met.unionByName(_contained(keyed, short))
+    return met.distinct().filter(similarity(F.col("x"), F.col("y"), method == "partial_ratio") >= threshold) \
         .select("better", "worse")
 
 
+def _contained(keyed: DataFrame, short: int) -> DataFrame:
+    """Pairs of which one text, of fewer than ``short`` characters, lies whole in the other.
+
+    A text that short scores at all only if no character of it is unmatched, else ``shared_run`` would be as short. It
+    meets every piece of its length of the other texts through an equality join.
+    """
+    length = F.char_length("text")
+    pieces = keyed.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(short - 1)), lambda n: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda i: i + n - 1 <= length),
+            lambda i: F.substr("text", i, n)))))))
+    whole = keyed.filter((length > 0) & (length < short)).select(F.col("_rank").alias("r"), F.col("text").alias("t"))
+    met = whole.join(pieces, (F.col("t") == F.col("gram")) & (F.col("r") != F.col("_rank")))
+    first = F.col("r") < F.col("_rank")
+    return met.select(F.least("r", "_rank").alias("better"), F.greatest("r", "_rank").alias("worse"),
+                      F.when(first, F.col("t")).otherwise(F.col("text")).alias("x"),
+                      F.when(first, F.col("text")).otherwise(F.col("t")).alias("y"))
+
+
 def greedy_centres(ranks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ranks that become centres when values are visited best first and absorb their neighbours.
 
@@ -118,15 +141,15 @@ def greedy_centres(ranks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def cluster_map(df: DataFrame, column: str, threshold: float = SCORE, method: str = "ratio",
-                max_values: int = MAX_VALUES, override: dict[str, str] | None = None) -> DataFrame:
-    """(value, n, canonical) for every distinct value."""
+                max_values: int | None = None, override: dict[str, str] | None = None) -> DataFrame:
+    """(value, n, canonical) for every distinct value. ``max_values`` refuses columns with more of them."""
     require_categorical(df, column)
     if method not in METHODS:
         raise ColumnError(f"unknown method {method!r}")
     counts = column_counts(df, column).select(col(column).cast("string").alias("value"), "n")
     counts = counts.withColumn("_order", -F.col("n"))
     ranked = stage(global_index(counts, ["_order", "value"], "_rank").drop("_order"), "ranked")
-    if ranked.count() > max_values:
+    if max_values is not None and ranked.count() > max_values:
         raise ColumnError(f"column {column!r} has more than {max_values} distinct values")
     pairs = stage(similar_pairs(ranked, threshold, method), "pairs")
     centres = greedy_centres(ranked, pairs)
@@ -155,7 +178,7 @@ def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 
 def cluster_values(df: DataFrame, column: str, threshold: float = SCORE, method: str = "ratio",
-                   max_values: int = MAX_VALUES, override: dict[str, str] | None = None) -> DataFrame:
+                   max_values: int | None = None, override: dict[str, str] | None = None) -> DataFrame:
     return apply_map(df, column, cluster_map(df, column, threshold, method, max_values, override))
 
 
@@ -235,14 +258,15 @@ def topic_encode(df: DataFrame, column: str, n_components: int = 10, grams: tupl
                  seed: int = 42, iterations: int = 20) -> DataFrame:
     """Non-negative topic activations of each value's character runs, as ``{column}_gap_{i}``."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
     require_categorical(df, column)
     values = stage(column_counts(df, column).select(
         col(column).cast("string").alias("_text"), F.col("n").alias("_n"),
         _word_grams(col(column).cast("string"), *grams).alias("_grams")), "values")
-    counted = CountVectorizer(inputCol="_grams", outputCol="_counts").fit(values).transform(values)
+    # hashed, so that no run of characters is dropped and no vocabulary goes through the driver
+    counted = HashingTF(numFeatures=TOPIC_BUCKETS, inputCol="_grams", outputCol="_counts").transform(values)
     model = LDA(k=max(2, n_components), maxIter=iterations, seed=seed, featuresCol="_counts",
                 topicDistributionCol="_topics").fit(counted)
     names = [f"{column}_gap_{i}" for i in range(n_components)]

@@ -32,7 +32,8 @@ def drop_duplicate_rows(df: DataFrame, subset: list[str] | None = None, keep: st
         if not order_by:
             raise ColumnError("first and last need order_by: a table has no row order of its own")
         require(df, *order_by)
-        order = F.struct(*map(col, order_by))
+        # rows that tie are ordered by a hash of their cells, so that the same one stays in every run
+        order = F.struct(*map(col, order_by), F.xxhash64(*map(col, df.columns)).alias("_tie"))
         reduced = grouped.agg((F.min_by if keep == "first" else F.max_by)(row, order).alias("_row"))
     return reduced.select(*[col(c) if c in keys else F.col("_row").getField(c).alias(c)
                             for c in df.columns])

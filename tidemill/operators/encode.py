@@ -39,8 +39,25 @@ class Encoder:
     unknown: str = "ignore"
     facts: dict = field(default_factory=dict)
     helpers: dict[str, Column] = field(default_factory=dict)  # worked out once per row for all new columns
+    make_fitted: Callable[[DataFrame], dict[str, Column]] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Encode a table that the encoder was not fitted on."""
+        return self._encoded(df, self.make)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Encode the table the encoder was fitted on: leave-one-out leaves each row's own target out."""
+        return self._encoded(df, self.make_fitted or self.make)
+
+    def known(self) -> Column:
+        """Whether the row's category was there when the encoder was fitted."""
+        if self.mapping is not None:
+            return F.coalesce("_known", F.lit(False))
+        if self.method in ("one_hot", "ordinal"):
+            return col(self.column).cast("string").isin([str(v) for v in self.facts["categories"]])
+        return F.lit(True)  # hashing has a place for every text
+
+    def _encoded(self, df: DataFrame, make: Callable[[DataFrame], dict[str, Column]]) -> DataFrame:
         require(df, self.column)
         clash = [c for c in self.new_columns if c in df.columns]
         if clash:
@@ -48,21 +65,16 @@ class Encoder:
         prepared = df.withColumn(self.column, _filled(df, self.column, self.unknown))
         joined = prepared
         if self.mapping is not None:
-            joined = lookup_join(prepared, self.mapping, self.column, "_n")
+            joined = lookup_join(prepared, self.mapping.withColumn("_known", F.lit(True)), self.column, "_n")
         joined = joined.withColumns(self.helpers) if self.helpers else joined
         given = col(self.column).isNotNull()
-        made = {n: F.when(given, c) for n, c in self.make(df).items()}
+        made = {n: F.when(given, c) for n, c in make(df).items()}
         if self.unknown == "error":
-            known = F.lit(True) if self.mapping is None or self.method == "leave_one_out" \
-                else F.coalesce(*[F.col(p) for p in self.payload()]).isNotNull()
-            made = {n: F.when(given & ~known, F.raise_error(F.lit("unknown category"))
-                              .cast("double")).otherwise(c) for n, c in made.items()}
+            refused = F.raise_error(F.lit("unknown category"))  # without a type of its own: the column keeps its type
+            made = {n: F.when(given & ~self.known(), refused).otherwise(c) for n, c in made.items()}
         kept = [c for c in df.columns if not (self.drop_original and c == self.column)]
         return joined.select(*map(col, kept), *[c.alias(n) for n, c in made.items()])
 
-    def payload(self) -> list[str]:
-        return [c for c in self.mapping.columns if c not in (self.column, "_n")]
-
     def risk(self, rows: int, cardinality: int) -> dict:
         return encode_risk(self.method, len(self.new_columns), cardinality, rows)
 
@@ -122,7 +134,7 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
         pairs = [x for k, v in ordinal_mapping.items() for x in (F.lit(k), F.lit(v))]
         return Encoder(new_columns=[f"{name}_ordinal"], make=lambda _: {
             f"{name}_ordinal": F.try_element_at(F.create_map(*pairs), col(column).cast("string"))},
-            facts={"mapping": ordinal_mapping}, **common)
+            facts={"mapping": ordinal_mapping, "categories": list(ordinal_mapping)}, **common)
 
     if method == "frequency":
         counts = stage(column_counts(source, column), "counts")
@@ -149,7 +161,8 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
         buckets = n_components or HASH_BUCKETS
         return Encoder(new_columns=[f"{name}_hash_{i}" for i in range(buckets)], make=lambda _: {
             f"{name}_hash_{i}": (F.col("_bucket") == i).cast("int") for i in range(buckets)},
-            helpers={"_bucket": _md5_bucket(col(column), buckets)}, facts={"n_buckets": buckets}, **common)
+            helpers={"_bucket": _md5_bucket(col(column), buckets)}, facts={
+                "n_buckets": buckets, "collision_risk": _collision_risk(df, column, buckets)}, **common)
 
     # target and leave_one_out
     if target is None:
@@ -172,16 +185,18 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
 
     mapping = stage(stats, "loo")
 
+    def whole_mean(frame: DataFrame) -> dict[str, Column]:
+        return {f"{name}_loo": F.coalesce(ratio(F.col("_sum"), F.col("_seen")), F.lit(prior))}
+
     def left_out(frame: DataFrame) -> dict[str, Column]:
-        if target not in frame.columns:  # a table without the target leaves nothing out
-            return {f"{name}_loo": F.coalesce(ratio(F.col("_sum"), F.col("_seen")), F.lit(prior))}
+        require(frame, target)
         own = _number(frame, target)
         value = F.coalesce(ratio(F.col("_sum") - own, F.col("_seen") - 1), F.lit(prior))
         if sigma:
             value = value * (1 + F.randn(seed) * sigma)
         return {f"{name}_loo": value}
 
-    return Encoder(new_columns=[f"{name}_loo"], make=left_out, mapping=mapping,
+    return Encoder(new_columns=[f"{name}_loo"], make=whole_mean, make_fitted=left_out, mapping=mapping,
                    facts={"prior": prior}, **common)
 
 
@@ -190,6 +205,12 @@ def _number(df: DataFrame, name: str) -> Column:
     return (c.cast("int") if isinstance(df.schema[name].dataType, T.BooleanType) else c).cast("double")
 
 
+def _collision_risk(df: DataFrame, column: str, buckets: int) -> float:
+    """The chance that a category shares its bucket with another, were all buckets equally likely."""
+    n = df.agg(F.count_distinct(col(column))).first()[0] or 0
+    return 1.0 - (1.0 - 1.0 / buckets) ** max(n - 1, 0)
+
+
 def _md5_bucket(c: Column, buckets: int) -> Column:
     """The 128-bit md5 modulo ``buckets``, taken eight hex digits at a time."""
     digest = F.md5(c.cast("string"))

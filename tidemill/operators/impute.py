@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, ClassVar
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,6 +43,7 @@ class RowDrop:
 
     column: str
     strategy: str = "drop_rows"
+    drops_rows: ClassVar[bool] = True
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.filter(col(self.column).isNotNull())

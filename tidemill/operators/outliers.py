@@ -6,6 +6,7 @@ NULL and infinite values are always kept, and a column without spread loses noth
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +26,7 @@ class OutlierBounds:
     method: str
     threshold: float
     stats: dict[str, float | None] = field(default_factory=dict)
+    drops_rows: ClassVar[bool] = True
 
     @property
     def active(self) -> bool:

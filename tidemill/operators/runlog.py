@@ -1,8 +1,8 @@
-"""The list of steps taken, as a table, and its reading in plain sentences."""
+"""The list of steps taken, as a table, and its reading in plain words."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.functions.columns import ColumnError
 
@@ -31,45 +31,11 @@ class RunLog:
         return self.spark.read.schema(SCHEMA).json(path)
 
 
-def _p(name: str, missing: str = "?") -> Column:
-    return F.coalesce(F.try_element_at(F.col("params"), F.lit(name)), F.lit(missing))
-
-
 def run_report(log: DataFrame) -> DataFrame:
-    """One sentence per step."""
-    sentences = {
-        "load_data": F.format_string("Loaded dataset '%s'.", _p("dataset_name", "unknown")),
-        "drop_duplicate_rows": F.format_string(
-            "Removed %s duplicate rows (%s).", _p("rows_removed", "0"),
-            F.when(_p("subset", "") == "", F.lit("all columns"))
-            .otherwise(F.concat(F.lit("subset="), _p("subset")))),
-        "drop_columns": F.format_string("Dropped %s columns: %s.", _p("count"), _p("columns")),
-        "remove_outliers": F.format_string(
-            "Removed %s outliers from '%s' using %s.", _p("rows_removed"), _p("column"), _p("method")),
-        "create_feature": F.format_string("Created feature '%s' = %s.", _p("name"), _p("expression")),
-        "encode_categorical": F.format_string(
-            "Encoded '%s' using %s (%s new columns).", _p("column"), _p("method"), _p("new_columns_count")),
-        "cast_column_type": F.format_string("Cast column types: %s.", _p("columns")),
-        "train_test_split": F.format_string(
-            "Split data (Test size: %s). Train: %s rows, Test: %s rows.", _p("test_size"),
-            _p("train_rows"), _p("test_rows")),
-        "detect_data_quality_issues": F.lit("Ran data quality check."),
-        "handle_missing_values": F.format_string(
-            "Handled missing values in '%s' using %s (%s rows affected).", _p("column"), _p("strategy"),
-            _p("rows_affected")),
-        "normalize_categorical_text": F.format_string(
-            "Normalized text in '%s' (%s).", _p("column"), _p("operations", "default ops")),
-        "harmonize_categorical_values": F.format_string(
-            "Harmonized '%s' to %s canonical values.", _p("column"), _p("canonical_count")),
-        "cluster_similar_categories": F.format_string(
-            "Clustered similar categories in '%s' (threshold=%s).", _p("column"), _p("threshold")),
-        "ml_prepare_categorical": F.format_string("ML-prepared '%s' using %s.", _p("column"), _p("method")),
-        "rollback": F.format_string(
-            "Rolled back to version %s (now version %s).", _p("rolled_back_to"), _p("new_version")),
-        "validate_action": F.format_string("Validated '%s' — allowed=%s.", _p("target_tool"), _p("allowed")),
-    }
-    text = F.format_string("Unknown Action (%s)", F.col("op"))
-    for op, sentence in sentences.items():
-        text = F.when(F.col("op") == op, sentence).otherwise(text)
-    return log.select("step", "op", F.concat(F.format_string("Step %d: ", F.col("step")), text)
-                      .alias("description"))
+    """One line per step: its number, the operation in words and what it was given, by name."""
+    given = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(
+        F.translate(e["key"], "_", " "), F.lit(" "), e["value"]))
+    words = F.translate(F.col("op"), "_", " ")
+    line = F.concat(F.col("step").cast("string"), F.lit(". "), words,
+                    F.when(F.size(given) > 0, F.concat(F.lit(" with "), F.array_join(given, "; "))).otherwise(""))
+    return log.select("step", "op", line.alias("description"))

@@ -31,8 +31,13 @@ class Split:
             raise ColumnError("train and test have different schemas")
 
     def apply(self, fitted) -> "Split":
-        """Transform both parts with something fitted on the training part."""
-        return Split(fitted.transform(self.train), fitted.transform(self.test))
+        """Transform both parts with something fitted on the training part.
+
+        What drops rows leaves the test part alone, and what treats its own training rows apart (leave-one-out)
+        does so for the training part only.
+        """
+        train = getattr(fitted, "fit_transform", fitted.transform)(self.train)
+        return Split(train, self.test if getattr(fitted, "drops_rows", False) else fitted.transform(self.test))
 
 
 def test_rows(rows: int, test_size: float) -> int:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemill.functions.columns import col
+from tidemill.functions.columns import col, float_columns
+
+
+def one_zero(c: Column, is_float: bool) -> Column:
+    """-0.0 as 0.0: they are equal as numbers and differ as text."""
+    return F.when(c == 0, F.abs(c)).otherwise(c) if is_float else c
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) for all non-null values; equal values are merged before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
+    floats = set(float_columns(df))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), one_zero(col(c), c in floats).cast("string").alias("value"))
                       for c in columns])
     return (df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
             .filter(F.col("value").isNotNull()).groupBy("column", "value")

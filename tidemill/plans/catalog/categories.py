@@ -16,7 +16,7 @@ LEVELS = {"view": 1, "click": 2, "signup": 3, "purchase": 4}  # error is left ou
 def encode(method, digits=None, **kw):
     def run(spark, d):
         df = c.untyped_events(spark, d)
-        out = fit_encoder(df, "event_type", method, **kw).transform(df)
+        out = fit_encoder(df, "event_type", method, **kw).fit_transform(df)
         made = [x for x in out.columns if x not in df.columns]
         return out.withColumns({n: F.round(col(n), digits) for n in made}) if digits else out
     return run

@@ -145,11 +145,10 @@ QUERIES = {
         UNION ALL SELECT 3, 'handle_missing_values', CAST({_GAPS} AS VARCHAR)"""),
     "run_report": (lambda spark, d: run_report(_steps(spark, d).table()), f"""
         SELECT CAST(1 AS INTEGER) AS step, 'load_data' AS op,
-            'Step 1: Loaded dataset ''events''.' AS description
-        UNION ALL SELECT 2, 'drop_duplicate_rows',
-            'Step 2: Removed ' || {_EXTRA} || ' duplicate rows (all columns).'
-        UNION ALL SELECT 3, 'handle_missing_values',
-            'Step 3: Handled missing values in ''value'' using median (' || {_GAPS} || ' rows affected).'"""),
+            '1. load data with dataset name events' AS description
+        UNION ALL SELECT 2, 'drop_duplicate_rows', '2. drop duplicate rows with rows removed ' || {_EXTRA}
+        UNION ALL SELECT 3, 'handle_missing_values', '3. handle missing values with column value; rows affected '
+            || {_GAPS} || '; strategy median'"""),
     "drop_columns": (lambda spark, d: project.drop_columns(
         c.table(spark, d, "lineitem"), ["l_shipdate", "l_tax"]),
         "SELECT * EXCLUDE (l_shipdate, l_tax) FROM lineitem"),
