@@ -1,26 +1,27 @@
-"""Nearest-neighbour imputation as a grid join.
+"""Nearest-neighbour imputation: blocks of queries against all donors, the k best kept in each task.
 
-Rows meet only through equal grid cells. A query looks at its own cell and the cells around it; every
-row outside that block is at least one cell side away, so once the k-th neighbour found is nearer than
-the side, the neighbours are exact. Queries that are not finished go on with cells four times as wide.
-Distance in the grid columns never exceeds the full distance, so two columns are enough for the cells.
+Distinct query points are taken in blocks of bounded size, each broadcast to the tasks that hold the donors. A task
+keeps the k nearest of each query that it has seen and sends on only those, and the few left per task are merged. Rows
+with gaps need no search of their own: a distance uses the columns that both rows have. There is no cell or key that a
+dense spot of donors could make hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.functions.columns import ColumnError, col, require, require_numeric
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
+from tidemill.operators.ordered import global_index
 
-GROWTH = 4.0
-GRID_COLUMNS = 2
-SHRINK = 16.0
-FULL_CELL = 50
+QUERY_BLOCK, DONOR_BLOCK = 1024, 2048
+NEAR = "query long, far double, place long, value double"
 
 
 @dataclass
@@ -37,119 +38,71 @@ class NeighbourFill:
         vector = F.to_json(point)
         empty = col(self.column).isNull()
         counted = df.filter(empty).groupBy(point.alias("p")).agg(F.count(F.lit(1)).alias("_rows"))
-        queries = stage(counted.select(F.to_json("p").alias("_vector"), "p.*", "_rows"), "queries")
-        found = None
-        for some_queries, some_donors, dims in self._parts(queries, f):
-            part = _search(some_queries, some_donors, dims, f, self.k)
-            found = part if found is None else found.unionByName(part)
+        queries = stage(counted.select(F.to_json("p").alias("_vector"), "p.*", "_rows",
+                                       F.monotonically_increasing_id().alias("query")), "queries")
+        found = _nearest(queries, self.donors, f, self.k)
         value = F.lit(self.mean)
         if found is not None:
-            nearest = Window.partitionBy("_vector").orderBy("_far", "_id")
-            best = (found.withColumn("_rank", F.row_number().over(nearest))
-                    .filter(F.col("_rank") <= self.k)
-                    .groupBy("_vector").agg(F.avg("_value").alias("_fill")))
-            fills = stage(queries.select("_vector", "_rows").join(best, "_vector"), "fills")
+            best = found.groupBy("query").agg(F.avg("value").alias("_fill"))
+            fills = stage(queries.select("query", "_vector", "_rows").join(best, "query").drop("query"), "fills")
             df = lookup_join(df.withColumn("_vector", F.when(empty, vector)), fills, "_vector", "_rows")
             value = F.coalesce(F.col("_fill"), value)
         filled = F.coalesce(col(self.column).cast("double"), value)
         return df.select(*[filled.alias(c) if c == self.column else col(c)
                            for c in df.columns if c not in ("_vector", "_fill")])
 
-    def _parts(self, queries: DataFrame, f: list[str]):
-        """Pairs of tables that share columns without gaps, with the columns for the grid."""
-        asked = _filled_patterns(queries, f)
-        held = _filled_patterns(self.donors, f)
-        if not asked or not held:
-            return
-        common = set.intersection(*map(set, asked + held))
-        if common:
-            yield queries, self.donors, sorted(common)
-            return
-        for p, r in product(asked, held):
-            if set(p) & set(r):
-                yield (queries.filter(_has_exactly(p, f)), self.donors.filter(_has_exactly(r, f)),
-                       sorted(set(p) & set(r)))
-
 
 def _names(features: list[str]) -> list[str]:
     return [f"f{i}" for i in range(len(features))]
 
 
-def _filled_patterns(df: DataFrame, f: list[str]) -> list[tuple[str, ...]]:
-    """Which sets of columns are filled; at most 2^columns of them."""
-    rows = df.select(*[F.col(c).isNotNull().alias(c) for c in f]).distinct().collect()
-    return [tuple(c for c in f if r[c]) for r in rows]
-
-
-def _has_exactly(filled, f: list[str]):
-    test = F.lit(True)
-    for c in f:
-        test = test & (F.col(c).isNotNull() if c in filled else F.col(c).isNull())
-    return test
-
-
-def _search(queries: DataFrame, donors: DataFrame, dims: list[str], f: list[str], k: int) -> DataFrame:
-    """The k nearest donors of each query: (_vector, _far, _id, _value)."""
-    ends = [F.count(F.lit(1))] + [a for c in dims for a in (F.min(c), F.max(c))]
-    d, r = donors.agg(*ends).first(), queries.agg(*ends).first()
-    reach = {c: max(d[2 * i + 2], r[2 * i + 2]) - min(d[2 * i + 1], r[2 * i + 1])
-             for i, c in enumerate(dims)}
-    grid = sorted(dims, key=lambda c: (-reach[c], c))[:GRID_COLUMNS]
-    grid = [c for c in grid if reach[c] > 0] or grid[:1]
-    widest = max(reach[c] for c in grid)
-    volume = 1.0
-    for c in grid:
-        volume *= reach[c] or 1.0
-    even = (volume * k / max(d[0], 1)) ** (1.0 / len(grid))
-    side = _fine_enough(donors, grid, even, k)
-
-    squared, present = F.lit(0.0), F.lit(0)
-    for c in f:
-        gap = F.col(f"q.{c}") - F.col(f"d.{c}")
-        squared = squared + F.coalesce(gap * gap, F.lit(0.0))
-        present = present + F.when(gap.isNotNull(), 1).otherwise(0)
-    far = squared * F.try_divide(F.lit(float(len(f) + 1)), present.cast("double"))
-
-    open_queries, found = queries, None
-    while True:
-        last = side > widest
-        near = [F.transform(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1),
-                            lambda x: x) for c in grid]
-        asked = open_queries
-        for i, cells in enumerate(near):
-            asked = asked.withColumn(f"_cell{i}", F.explode(cells))
-        held = donors.withColumns({f"_cell{i}": F.floor(F.col(c) / side) for i, c in enumerate(grid)})
-        same = [F.col(f"q._cell{i}") == F.col(f"d._cell{i}") for i in range(len(grid))]
-        pairs = asked.alias("q").join(held.alias("d"), same).select(
-            F.col("q._vector").alias("_vector"), far.alias("_far"), F.col("d._id").alias("_id"),
-            F.col("d._value").alias("_value"))
-        nearest = Window.partitionBy("_vector").orderBy("_far", "_id")
-        top = stage(pairs.withColumn("_rank", F.row_number().over(nearest))
-                    .filter(F.col("_rank") <= k), "neighbours")
-        if last:
-            exact = top
-        else:
-            sure = top.groupBy("_vector").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")) \
-                .filter((F.col("n") >= k) & (F.col("r") <= side * side)).select("_vector")
-            exact = top.join(sure, "_vector", "left_semi")
-            open_queries = open_queries.join(sure, "_vector", "left_anti")
-            open_queries = stage(open_queries, "open")
-        found = exact if found is None else found.unionByName(exact)
-        if last or open_queries.isEmpty():
-            return found.drop("_rank")
-        side *= GROWTH
-
-
-def _fine_enough(donors: DataFrame, grid: list[str], side: float, k: int) -> float:
-    """Shrink the first cells until the fullest one holds few donors, so that a dense spot is searched
-    in small cells; rows far from it take part in later, wider rounds only if they need them."""
-    smallest = side / SHRINK ** 12
-    while side > smallest:
-        cells = donors.groupBy(*[F.floor(F.col(c) / side) for c in grid]).agg(F.count(F.lit(1)).alias("n"))
-        if (cells.agg(F.max("n")).first()[0] or 0) <= FULL_CELL * k:
-            break
-        side /= SHRINK
-    return side
+def _nearest(queries: DataFrame, donors: DataFrame, f: list[str], k: int) -> DataFrame | None:
+    """The k nearest donors of each query, over all its blocks; None without queries."""
+    total = queries.count()
+    blocks = -(-total // QUERY_BLOCK)
+    found = None
+    for block in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", *f).toPandas()
+        if not len(part):
+            continue
+        near = donors.mapInPandas(_search(donors.sparkSession.sparkContext.broadcast(
+            (part["query"].to_numpy(np.int64), part[f].to_numpy(float))), f, k), NEAR)
+        order = Window.partitionBy("query").orderBy("far", "place")  # k rows from each task at most
+        best = stage(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"), "near")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _search(asked, f: list[str], k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, points = asked.value
+        best = pd.DataFrame({"at": np.empty(0, np.int64), "far": np.empty(0), "place": np.empty(0, np.int64), "value": np.empty(0)})
+        bound = np.full(len(points), np.inf)
+        for batch in batches:
+            for start in range(0, len(batch), DONOR_BLOCK):
+                some = batch.iloc[start:start + DONOR_BLOCK]
+                held = some[f].to_numpy(float)
+                squared, present = np.zeros((len(points), len(held))), np.zeros((len(points), len(held)))
+                for j in range(len(f)):
+                    gap = points[:, j, None] - held[None, :, j]
+                    met = ~np.isnan(gap)
+                    squared += np.where(met, gap * gap, 0.0)
+                    present += met
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = np.where(present > 0, squared * (float(len(f) + 1) / present), np.inf)
+                reach = bound if len(held) < k else np.minimum(bound, np.partition(far, k - 1, axis=1)[:, k - 1])
+                at, row = np.nonzero((far <= reach[:, None]) & np.isfinite(far))
+                best = pd.concat([best, pd.DataFrame({
+                    "at": at, "far": far[at, row], "place": some["place"].to_numpy()[row], "value": some["value"].to_numpy()[row]})])
+                best = best.sort_values(["at", "far", "place"])
+                rank = best.groupby("at").cumcount()
+                best = best[rank < k]
+                last = best[rank[rank < k] == k - 1]
+                bound[last["at"].to_numpy()] = last["far"].to_numpy()
+        yield pd.DataFrame({"query": names[best["at"].to_numpy(np.int64)], "far": best["far"], "place": best["place"],
+                            "value": best["value"]})
+
+    return run
 
 
 def fit_neighbour_fill(df: DataFrame, column: str, key: list[str], columns: list[str],
@@ -164,12 +117,16 @@ def fit_neighbour_fill(df: DataFrame, column: str, key: list[str], columns: list
     if not features:
         raise ColumnError("neighbours need two or more numeric columns")
     f = _names(features)
+    order = [f"k{i}" for i in range(len(key))]
     rows = df.filter(col(column).isNotNull()).select(
         *[col(c).cast("double").alias(n) for c, n in zip(features, f)],
-        col(column).cast("double").alias("_value"), F.struct(*map(col, key)).alias("_id"))
-    first = Window.partitionBy(*f).orderBy("_id")
-    donors = stage(rows.withColumn("_copy", F.row_number().over(first))
-                   .filter(F.col("_copy") <= k).drop("_copy"), "donors")
+        col(column).cast("double").alias("value"), *[col(c).alias(n) for c, n in zip(key, order)])
+    # a group of equal rows is cut in two steps, so that a very large one is spread over many tasks first
+    spread = F.pmod(F.xxhash64(*order), F.lit(64))
+    for keys in ([*f, spread], f):
+        first = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k).drop("copy")
+    donors = stage(global_index(rows, order, "place").select(*f, "value", "place"), "donors")
     mean = df.agg(F.avg(col(column).cast("double"))).first()[0]
     if mean is None:
         raise ColumnError(f"column {column!r} has no values")

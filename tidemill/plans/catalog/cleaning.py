@@ -83,11 +83,17 @@ def impute_report(spark, d):
 
 def impute_knn(spark, d):
     df = c.gappy_parts(spark, d)
-    fitted = fit_neighbour_fill(df, "p_retailprice", ["p_partkey"],
-                                ["p_partkey", "p_size", "p_retailprice"], k=5)
+    fitted = fit_neighbour_fill(df, "p_retailprice", ["p_partkey"], ["p_size", "p_retailprice"], k=5)
     return fitted.transform(df).withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 
+def impute_knn_gappy(spark, d):
+    """Three features, each with gaps of its own."""
+    df = c.gappy_baskets(spark, d)
+    fitted = fit_neighbour_fill(df, "price", ["l_orderkey"], ["quantity", "discount", "tax", "price"], k=5)
+    return fitted.transform(df).withColumn("price", F.round("price", 3))
+
+
 def impute_iterative(spark, d):
     df = c.gappy_parts(spark, d)
     out = fit_regression_fill(df, ["p_partkey", "p_size", "p_retailprice"]).transform(df)
@@ -153,17 +159,27 @@ QUERIES = {
     "impute_random_sample_report": (random_sample_report, f"""WITH {c.GAPPY_EVENTS} SELECT count(*) AS total,
         CAST(0 AS BIGINT) AS missing, count(value) AS kept, CAST(0 AS BIGINT) AS foreign_values FROM gappy_events"""),
     "impute_knn": (impute_knn, f"""
-        WITH {c.GAPPY_PARTS}, g AS (SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size,
-            p_retailprice FROM gappy_parts),
+        WITH {c.GAPPY_PARTS}, g AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM gappy_parts),
         pairs AS (SELECT q.p_partkey AS k, t.p_partkey AS i, t.p_retailprice AS v,
-            ((q.p_partkey - t.p_partkey) * (q.p_partkey - t.p_partkey)
-                + coalesce((q.p_size - t.p_size) * (q.p_size - t.p_size), 0.0))
-                * (3.0 / CAST(CASE WHEN q.p_size - t.p_size IS NOT NULL THEN 2 ELSE 1 END AS DOUBLE)) AS far
-            FROM g q JOIN g t ON q.p_retailprice IS NULL AND t.p_retailprice IS NOT NULL),
+            (q.p_size - t.p_size) * (q.p_size - t.p_size) * 2.0 AS far
+            FROM g q JOIN g t ON q.p_retailprice IS NULL AND t.p_retailprice IS NOT NULL AND q.p_size - t.p_size IS NOT NULL),
         near AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY far, i) AS r FROM pairs),
         fills AS (SELECT k, avg(v) AS v FROM near WHERE r <= 5 GROUP BY k)
-        SELECT o.p_partkey, o.p_size, round(coalesce(o.p_retailprice, f.v), 4) AS p_retailprice
-        FROM gappy_parts o LEFT JOIN fills f ON f.k = o.p_partkey"""),
+        SELECT o.p_partkey, o.p_size, round(coalesce(o.p_retailprice, f.v, (SELECT avg(p_retailprice) FROM g)), 4)
+            AS p_retailprice FROM gappy_parts o LEFT JOIN fills f ON f.k = o.p_partkey"""),
+    "impute_knn_gappy": (impute_knn_gappy, f"""
+        WITH {c.GAPPY_BASKETS}, pairs AS (SELECT q.l_orderkey AS k, t.l_orderkey AS i, t.price AS v,
+            (coalesce((q.quantity - t.quantity) * (q.quantity - t.quantity), 0.0)
+                + coalesce((q.discount - t.discount) * (q.discount - t.discount), 0.0)
+                + coalesce((q.tax - t.tax) * (q.tax - t.tax), 0.0))
+            * (4.0 / nullif(CAST((q.quantity - t.quantity IS NOT NULL) AS INT) + CAST((q.discount - t.discount IS NOT NULL) AS INT)
+                + CAST((q.tax - t.tax IS NOT NULL) AS INT), 0)) AS far
+            FROM gappy_baskets q JOIN gappy_baskets t ON q.price IS NULL AND t.price IS NOT NULL),
+        near AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY far, i) AS r FROM pairs WHERE far IS NOT NULL),
+        fills AS (SELECT k, avg(v) AS v FROM near WHERE r <= 5 GROUP BY k)
+        SELECT o.l_orderkey, o.quantity, o.discount, o.tax,
+            round(coalesce(o.price, f.v, (SELECT avg(price) FROM gappy_baskets)), 3) AS price
+        FROM gappy_baskets o LEFT JOIN fills f ON f.k = o.l_orderkey"""),
     "impute_iterative": (impute_iterative, None),
     "impute_report": (impute_report, f"""WITH {c.GAPPY_EVENTS}
         SELECT 'value' AS "column", 'mean' AS strategy, round(avg(value), 6) AS value_used,

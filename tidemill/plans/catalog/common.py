@@ -131,5 +131,24 @@ GAPPY_PARTS = """gappy_parts AS (SELECT p_partkey,
     CASE WHEN p_brand <> 'Brand#2' THEN p_retailprice END AS p_retailprice FROM part)"""
 
 
+_GAPS = """l_orderkey, CASE WHEN tax >= 0.025 THEN quantity END AS quantity,
+    CASE WHEN quantity < 140 THEN discount END AS discount, CASE WHEN discount < 0.065 THEN tax END AS tax,
+    CASE WHEN quantity < 60 OR quantity > 68 THEN price END AS price"""
+
+
+def gappy_baskets(spark, folder) -> DataFrame:
+    """Orders as the sums and means of their lines; each column misses cells of its own."""
+    baskets = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.expr("CAST(sum(l_quantity) AS DOUBLE) AS quantity"), F.expr("round(avg(l_discount), 6) AS discount"),
+        F.expr("round(avg(l_tax), 6) AS tax"), F.expr("round(CAST(sum(l_extendedprice) AS DOUBLE), 2) AS price"))
+    return stage(baskets.selectExpr(*[x.strip() for x in _GAPS.replace("\n", " ").split(", ")]), "baskets")
+
+
+GAPPY_BASKETS = f"""baskets AS (SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity,
+        round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax,
+        round(CAST(sum(l_extendedprice) AS DOUBLE), 2) AS price FROM lineitem GROUP BY l_orderkey),
+    gappy_baskets AS (SELECT {_GAPS} FROM baskets)"""
+
+
 def union_all(parts) -> str:
     return "\nUNION ALL\n".join(parts)
