@@ -165,3 +165,17 @@ def test_iterative_equals_passes_over_the_matrix(spark):
     out = fit_regression_fill(df, ["a", "b", "c"], max_iter=3, tol=0.0).transform(df)
     got = np.array([list(r)[1:] for r in out.orderBy("i").collect()])
     assert np.allclose(got, plain_rounds(data, 3), atol=1e-6)
+
+
+def test_fills_on_both_parts_of_a_split(spark):
+    from tidemill.operators.split import Split
+
+    train, test = frame(spark, [1.0, None, 3.0]), frame(spark, [None, 8.0, None, 10.0])
+    both = Split(train, test)
+    assert column(both.apply(impute.ordered_fill("x", "forward", ["i"])).test, "x") == [8, 8, 8, 10]
+    assert column(both.apply(impute.ordered_fill("x", "backward", ["i"])).train, "x") == [1, 3, 3]
+    assert column(both.apply(impute.ordered_fill("x", "interpolate", ["i"])).test, "x")[2] == 9
+    drawn = both.apply(impute.fit_random_fill(train, "x", ["i"]))
+    assert set(column(drawn.test, "x")) <= {1.0, 3.0, 8.0, 10.0} and None not in column(drawn.train, "x")
+    dropped = both.apply(impute.fit_value_fill(train, "x", "drop_rows"))
+    assert (dropped.train.count(), dropped.test.count()) == (2, 4)

@@ -85,6 +85,25 @@ def fit_value_fill(df: DataFrame, column: str, strategy: str, constant: Any = No
     return ValueFill(column, strategy, value)
 
 
+@dataclass
+class OrderedFill:
+    """forward, backward or interpolate, worked out within each table it is applied to."""
+
+    column: str
+    strategy: str
+    order_by: list[str]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        run = {"forward": fill_forward, "backward": fill_backward, "interpolate": fill_interpolated}[self.strategy]
+        return run(df, self.column, self.order_by)
+
+
+def ordered_fill(column: str, strategy: str, order_by: list[str]) -> OrderedFill:
+    if strategy not in ("forward", "backward", "interpolate"):
+        raise ColumnError(f"unknown strategy {strategy!r}")
+    return OrderedFill(column, strategy, order_by)
+
+
 def fill_forward(df: DataFrame, column: str, order_by: list[str]) -> DataFrame:
     require(df, column, *order_by)
     return ordered.fill_from_neighbours(df, column, order_by, forward=True)
@@ -108,9 +127,14 @@ class RandomFill:
     column: str
     blocks: DataFrame
     total: int
+    key: list[str] | None = None
+    seed: int = 42
 
-    def transform(self, df: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
+    def transform(self, df: DataFrame, key: list[str] | None = None, seed: int | None = None) -> DataFrame:
         """``key`` names columns that tell rows apart, so that equal seeds give equal draws."""
+        key, seed = key or self.key, self.seed if seed is None else seed
+        if not key:
+            raise ColumnError("a random fill needs key columns")
         empty = col(self.column).isNull()
         draw = F.pmod(F.xxhash64(F.lit(seed), *map(col, key)), F.lit(self.total))
         missing = df.filter(empty).withColumn("_draw", draw)
@@ -119,9 +143,9 @@ class RandomFill:
             *[F.col("_value").alias(c) if c == self.column else col(c) for c in df.columns]))
 
 
-def fit_random_fill(df: DataFrame, column: str) -> RandomFill:
-    require(df, column)
+def fit_random_fill(df: DataFrame, column: str, key: list[str] | None = None, seed: int = 42) -> RandomFill:
+    require(df, column, *(key or []))
     blocks, total = position_blocks(df, column)
     if total == 0:
         raise ColumnError(f"column {column!r} has no values to draw from")
-    return RandomFill(column, blocks, total)
+    return RandomFill(column, blocks, total, key, seed)

@@ -2,8 +2,9 @@
 
 Small columns use the built-in exact ``percentile``. Larger ones are narrowed: an approximate
 quantile gives a bracket, counting below and inside the bracket shows which ranks it holds, and the
-next round looks only inside it. Each round keeps a few thousandths of the rows, so the values that
-reach the driver are bounded by ``GATHER`` whatever the size of the table.
+next round looks only inside it, for all columns and ranks at once. Each round keeps a few thousandths of
+the rows; at most ``GATHER`` rows for each rank are left to be ordered in the end, and one row for each
+rank reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.functions.columns import col
 
@@ -69,14 +70,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def _narrow(data: DataFrame, targets: list[_Target], gather: int) -> None:
-    while True:
-        for t in targets:
-            if t.value is None and t.inside <= gather:
-                _pick(data, t)
-        wide = [t for t in targets if t.value is None]
-        if not wide:
-            return
+    """Two scans for each round of narrowing and one for the last step, whatever the number of columns and ranks."""
+    while wide := [t for t in targets if t.value is None and t.inside > gather]:
         _shrink(data, wide)
+    _pick(data, [t for t in targets if t.value is None])
 
 
 def _band(t: _Target):
@@ -89,15 +86,18 @@ def _band(t: _Target):
     return band
 
 
-def _pick(data: DataFrame, t: _Target) -> None:
-    rows = (data.filter(_band(t)).groupBy(F.col(t.column).alias("v")).count()
-            .orderBy("v").collect())
-    seen = t.below
-    for row in rows:
-        seen += row["count"]
-        if t.rank < seen:
-            t.value = row["v"]
-            return
+def _pick(data: DataFrame, targets: list[_Target]) -> None:
+    """The value at each target's rank, from the counts of the values in its interval."""
+    if not targets:
+        return
+    kept = F.array(*[F.when(_band(t), F.struct(F.lit(i).alias("i"), F.col(t.column).alias("v"))) for i, t in enumerate(targets)])
+    counts = (data.select(F.explode(F.filter(kept, lambda p: p.isNotNull())).alias("p"))
+              .groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n")))
+    wanted = F.element_at(F.array(*[F.lit(t.rank - t.below) for t in targets]), F.col("i") + 1)
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))  # an interval holds few rows by now
+    found = counts.withColumn("upto", upto).filter((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted))
+    for row in found.select("i", "v").collect():  # one row for each target
+        targets[row["i"]].value = row["v"]
 
 
 def _shrink(data: DataFrame, targets: list[_Target]) -> None:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemill.functions.columns import ColumnError, col, numeric_columns, require
 
 METHODS = ("pca", "truncated_svd", "lda")
-MAX_CLASSES = 1000
 PRODUCTS_PER_PASS = 500
 
 
@@ -102,18 +101,24 @@ def fit_reduction(df: DataFrame, method: str, n_components: int, target: str | N
         share = np.maximum(values[best], 0.0) / max(float(values.sum()), 1e-300)
         return Projection(weights=_facing(vectors[:, best]).tolist(), explained=share.tolist(), **common)
 
-    rows = _per_class(df, target, z, F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]))
-    if any(r["label"] is None for r in rows):
+    classes, unnamed = df.select(col(target).alias("label")).distinct().agg(
+        F.count(F.lit(1)), F.count_if(F.col("label").isNull())).first()
+    if unnamed:
         raise ColumnError("the target has missing values")
-    if n_components > len(rows) - 1:
-        raise ColumnError(f"lda gives at most {len(rows) - 1} components for {len(rows)} classes")
-    within, between = np.zeros((d, d)), np.zeros((d, d))
-    for r in rows:
-        s = np.array(r["s"])
-        within += square(r["g"]) - np.outer(s, s) / r["n"]
-        between += np.outer(s, s) / r["n"]  # the overall mean of standardised columns is zero
-    within /= n - len(rows)
-    between /= len(rows) - 1
+    if n_components > classes - 1:
+        raise ColumnError(f"lda gives at most {classes - 1} components for {classes} classes")
+    # the overall mean of standardised columns is zero, so what is not between the classes is within them
+    sums = df.groupBy(col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(z)])
+    total, between = np.zeros((d, d)), np.zeros((d, d))
+    for start in range(0, len(pairs), PRODUCTS_PER_PASS):
+        some = pairs[start:start + PRODUCTS_PER_PASS]
+        for matrix, values in (
+                (total, df.agg(F.array(*[F.sum(z[i] * z[j]) for i, j in some])).first()[0]),
+                (between, sums.agg(F.array(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) for i, j in some])).first()[0])):
+            for (i, j), v in zip(some, values):
+                matrix[i, j] = matrix[j, i] = v
+    within = (total - between) / (n - classes)
+    between /= classes - 1
     values, vectors = np.linalg.eigh(within)
     solid = values > 1e-10 * values.max()
     whiten = vectors[:, solid] / np.sqrt(values[solid])
@@ -121,12 +126,3 @@ def fit_reduction(df: DataFrame, method: str, n_components: int, target: str | N
     best = np.argsort(ratios)[::-1][:n_components]
     share = np.maximum(ratios[best], 0.0) / max(float(np.maximum(ratios, 0.0).sum()), 1e-300)
     return Projection(weights=_facing(whiten @ turned[:, best]).tolist(), explained=share.tolist(), **common)
-
-
-def _per_class(df: DataFrame, target: str, z: list, products) -> list:
-    rows = df.groupBy(col(target).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in z]).alias("s"),
-        products.alias("g")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ColumnError(f"more than {MAX_CLASSES} classes")
-    return rows

@@ -7,7 +7,7 @@ which the cut falls; only the rows of that one range are ranked, everything else
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,7 +18,6 @@ from tidemill.operators.ordered import global_index
 
 RANGE_ROWS = 50_000
 MAX_RANGE_BITS = 24
-MAX_CLASSES = 10_000
 
 
 @dataclass
@@ -48,20 +47,22 @@ def test_rows(rows: int, test_size: float) -> int:
     return min(ceil(rows * test_size - 1e-12), rows - 1)
 
 
-def class_quotas(counts: dict, test_size: float) -> dict:
-    """Test rows per class: proportional, the remainder to the largest fractions."""
-    rows = sum(counts.values())
-    wanted = test_rows(rows, test_size)
-    if min(counts.values()) < 2:
+def class_quotas(counts: DataFrame, label: str, test_size: float) -> tuple[DataFrame, int]:
+    """(label, n, q): test rows per class, proportional, the remainder to the largest fractions; and the largest class."""
+    rows, classes, least, most, gaps = counts.agg(
+        F.sum("n"), F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_if(F.col(label).isNull())).first()
+    if gaps:
+        raise ColumnError("the stratify column has missing values")
+    wanted = test_rows(rows or 0, test_size)
+    if least < 2:
         raise ColumnError("every class needs at least two rows")
-    if wanted < len(counts) or rows - wanted < len(counts):
+    if wanted < classes or rows - wanted < classes:
         raise ColumnError("both parts need at least one row per class")
-    exact = {c: wanted * n / rows for c, n in counts.items()}
-    quota = {c: floor(v) for c, v in exact.items()}
-    rest = sorted(counts, key=lambda c: (quota[c] - exact[c], str(c)))
-    for c in rest[:wanted - sum(quota.values())]:
-        quota[c] += 1
-    return quota
+    exact = F.lit(float(wanted)) * F.col("n") / F.lit(float(rows))
+    shares = stage(counts.withColumns({"q": F.floor(exact), "short": F.floor(exact) - exact, "name": F.col(label).cast("string")}), "shares")
+    left = wanted - shares.agg(F.sum("q")).first()[0]
+    ranked = global_index(shares, ["short", "name"], "rank")
+    return stage(ranked.select(label, "n", (F.col("q") + (F.col("rank") < left).cast("int")).alias("q")), "quotas"), most
 
 
 def train_test_split(df: DataFrame, test_size: float, key: list[str], seed: int = 42,
@@ -71,31 +72,24 @@ def train_test_split(df: DataFrame, test_size: float, key: list[str], seed: int
     label = free_name(df, "_class")
     if stratify:
         require(df, stratify)
-        counted = df.groupBy(col(stratify).alias(label)).count().limit(MAX_CLASSES + 1).collect()
-        if len(counted) > MAX_CLASSES:
-            raise ColumnError(f"more than {MAX_CLASSES} classes")
-        counts = {r[label]: r["count"] for r in counted}
-        if None in counts:
-            raise ColumnError("the stratify column has missing values")
-        quota = class_quotas(counts, test_size)
+        quotas, most = class_quotas(stage(df.groupBy(col(stratify).alias(label)).agg(
+            F.count(F.lit(1)).alias("n")), "classes"), label, test_size)
         classed = df.withColumn(label, col(stratify))
     else:
-        counts = {0: df.count()}
-        quota = {0: test_rows(counts[0], test_size)}
+        most = df.count()
+        quotas = df.sparkSession.createDataFrame([(0, test_rows(most, test_size))], f"{label} int, q bigint")
         classed = df.withColumn(label, F.lit(0))
 
     place, part, bound, left = (free_name(df, n) for n in ("_place", "_range", "_bound", "_left"))
-    bits = min(MAX_RANGE_BITS, max(0, (max(counts.values()) // RANGE_ROWS).bit_length()))
+    bits = min(MAX_RANGE_BITS, max(0, (most // RANGE_ROWS).bit_length()))
     hashed = classed.withColumn(place, F.xxhash64(F.lit(seed), *map(col, key)))
     # the top bits of the hash, as an unsigned range number
     hashed = hashed.withColumn(part, F.pmod(F.shiftright(F.col(place), 64 - bits), F.lit(1 << bits))
                                if bits else F.lit(0).cast("bigint"))
 
     sizes = hashed.groupBy(label, part).agg(F.count(F.lit(1)).alias("n"))
-    quotas = df.sparkSession.createDataFrame(
-        list(quota.items()), f"{label} {classed.schema[label].dataType.simpleString()}, q bigint")
     run = F.sum("n").over(Window.partitionBy(label).orderBy(part))  # at most 2^bits rows per class
-    cut = (sizes.withColumn("upto", run).join(F.broadcast(quotas), label)
+    cut = (sizes.withColumn("upto", run).join(quotas.select(label, "q"), label)
            .filter((F.col("upto") >= F.col("q")) & (F.col("upto") - F.col("n") < F.col("q")))
            .select(label, F.col(part).alias(bound),
                    (F.col("q") - F.col("upto") + F.col("n")).alias(left)))

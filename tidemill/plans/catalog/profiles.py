@@ -7,6 +7,7 @@ from itertools import combinations, product
 from pyspark.sql import functions as F
 
 from tidemill.operators import association, profile, quality
+from tidemill.operators.quantiles import exact_quantiles
 from tidemill.plans.catalog import common as c
 
 ROWS = "(SELECT count(*) FROM shaped_events)"
@@ -28,6 +29,21 @@ def _shape(f, n):
             if n != "always" else "CAST(0.0 AS DOUBLE)")
 
 
+NARROWED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def quantiles_narrowed(spark, d):
+    """The plan for columns too large for one task."""
+    found = exact_quantiles(c.table(spark, d, "lineitem"), list(NARROWED), [0.25, 0.5, 0.9], in_memory=0, gather=500)
+    rows = [(n, p, v) for n, values in found.items() for p, v in zip((0.25, 0.5, 0.9), values)]
+    return spark.createDataFrame(rows, "column string, prob double, value double").withColumn("value", F.round("value", 6))
+
+
+def narrowed_sql():
+    return c.union_all(f"""SELECT '{n}' AS "column", CAST({p} AS DOUBLE) AS prob,
+        round(quantile_cont(CAST({n} AS DOUBLE), {p}), 6) AS value FROM lineitem""" for n in NARROWED for p in (0.25, 0.5, 0.9))
+
+
 def _described(spark, d):
     out = profile.describe_numeric(c.shaped_events(spark, d).drop("event_type"))
     return out.withColumns({n: F.round(n, 6) for n in ("min", "max", "q25", "q50", "q75")})
@@ -223,6 +239,7 @@ def groups_sql(a, g):
 GROUP_PAIRS = c.union_all(groups_sql(a, g) for a, g in product(("o_orderkey", "o_totalprice"), c.BANDED_CATEGORIES))
 
 QUERIES = {
+    "quantiles_narrowed": (quantiles_narrowed, narrowed_sql()),
     "describe_numeric": (_described, describe_numeric_checked()),
     "describe_categorical": (lambda spark, d: profile.describe_categorical(
         c.gappy_orders(spark, d), ["o_orderstatus", "o_orderpriority"]), describe_categorical_sql()),
