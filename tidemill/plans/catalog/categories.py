@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 from tidemill.operators import catnorm, cluster
 from tidemill.operators.encode import encode_report, fit_encoder, unmapped_categories
+from tidemill.operators.split import ordered_split
 from tidemill.plans.catalog import common as c
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -94,6 +96,48 @@ def embedded_segments(spark, d):
         "CASE WHEN c_nationkey = 3 THEN concat('the ', c_mktsegment, ' dept') ELSE c_mktsegment END AS c_mktsegment"))
 
 
+def shortened_segments(spark, d):
+    """Customers of one nation have the first three letters of their segment only."""
+    return c.table(spark, d, "customer").select("c_custkey", F.expr(
+        "CASE WHEN c_nationkey = 3 THEN substr(c_mktsegment, 1, 3) ELSE c_mktsegment END AS c_mktsegment"))
+
+
+def encode_loo_test_part(spark, d):
+    """Leave-one-out on both parts of a split: new rows get the whole mean, whatever their own target."""
+    s = ordered_split(c.untyped_events(spark, d), 0.2, ["event_id"])
+    both = s.apply(fit_encoder(s.train, "event_type", "leave_one_out", target="value"))
+    out = both.train.withColumn("part", F.lit("train")).unionByName(both.test.withColumn("part", F.lit("test")))
+    return out.withColumn("event_type_loo", F.round("event_type_loo", 6))
+
+
+LOO_PARTS = f"""WITH {c.UNTYPED_EVENTS}, placed AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY event_id) <=
+        count(*) OVER () - ceil(count(*) OVER () * 0.2) THEN 'train' ELSE 'test' END AS part FROM untyped_events),
+    m AS (SELECT event_type, sum(value) AS s, count(*) AS n FROM placed WHERE part = 'train' AND event_type IS NOT NULL GROUP BY 1),
+    p AS (SELECT avg(value) AS a FROM placed WHERE part = 'train')
+    SELECT event_id, value, part, round(CASE WHEN e.event_type IS NULL THEN NULL WHEN part = 'test' THEN coalesce(s / n, a)
+        WHEN n > 1 THEN (s - value) / (n - 1) ELSE a END, 6) AS event_type_loo
+    FROM placed e LEFT JOIN m USING (event_type), p"""
+STRICT = {"one_hot": {}, "ordinal": {"ordinal_mapping": {"view": 1, "click": 2}}, "label": {}, "frequency": {},
+          "binary": {"order_by": ["event_id"]}, "target": {"target": "value"}, "leave_one_out": {"target": "value"}}
+
+
+def encode_unknown_error(spark, d):
+    """Encoders fitted on part of the categories: do they refuse the others, and do they keep the types of the lax ones?"""
+    df = c.untyped_events(spark, d)
+    some, rows = df.filter("event_type IN ('view', 'click')"), []
+    for method, kw in STRICT.items():
+        strict, lax = (fit_encoder(some, "event_type", method, unknown=u, **kw) for u in ("error", "ignore"))
+        made = strict.transform(df)
+        try:
+            made.write.format("noop").mode("overwrite").save()
+            refused = False
+        except PySparkException as error:
+            refused = "unknown category" in str(error)
+        known = strict.transform(some).agg(F.count(F.lit(1))).first()[0]
+        rows.append((method, refused, made.dtypes == lax.transform(df).dtypes, known))
+    return spark.createDataFrame(rows, "method string, refused boolean, same_types boolean, known_rows bigint")
+
+
 def cluster_report(spark, d):
     found = cluster.cluster_report(cluster.cluster_map(c.misspelt_segments(spark, d), "c_mktsegment"))
     return found.select("canonical", F.array_join("members", "|").alias("members"), "frequency", "size")
@@ -106,6 +150,12 @@ REPORTED = """WITH s AS (SELECT c_mktsegment AS canonical, CASE WHEN c_nationkey
         count(DISTINCT value) AS size FROM s GROUP BY canonical HAVING count(DISTINCT value) > 1"""
 
 QUERIES = {
+    "encode_loo_test_part": (encode_loo_test_part, LOO_PARTS),
+    "encode_unknown_error": (encode_unknown_error, f"""WITH {c.UNTYPED_EVENTS} SELECT unnest({list(STRICT)}) AS method,
+        true AS refused, true AS same_types, n AS known_rows
+        FROM (SELECT count(*) AS n FROM untyped_events WHERE event_type IN ('view', 'click'))"""),
+    "cluster_partial_short": (lambda spark, d: cluster.cluster_values(
+        shortened_segments(spark, d), "c_mktsegment", 95, "partial_ratio"), SEGMENTS),
     "encode_one_hot": (encode("one_hot"), one_hot_sql()),
     "encode_label": (encode("label"), on_map(
         "SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type "

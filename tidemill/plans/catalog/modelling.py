@@ -114,6 +114,12 @@ def fit_train_apply_both(spark, d):
     return out.withColumn("event_type_freq", F.round("event_type_freq", 6))
 
 
+def split_row_filter_train_only(spark, d):
+    """Outlier bounds drop rows of the training part and leave the test part alone."""
+    s = split.ordered_split(c.table(spark, d, "events").select("event_id", "value"), 0.2, ["event_id"])
+    return part_counts(s.apply(fit_outliers(s.train, "value", "iqr")))
+
+
 PLACED = """placed AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY event_id) <=
     count(*) OVER () - ceil(count(*) OVER () * 0.2) THEN 'train' ELSE 'test' END AS part FROM events)"""
 
@@ -211,6 +217,10 @@ SPREAD = c.union_all(
     f"SELECT '{n}' AS feature, var_pop({n}) AS s FROM shaped_events" for n in c.SHAPED_NUMBERS if n != "event_id")
 
 QUERIES = {
+    "split_row_filter_train_only": (split_row_filter_train_only, f"""WITH {PLACED}, q AS (SELECT
+        quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM placed WHERE part = 'train')
+        SELECT part, count(*) AS n FROM placed, q WHERE part = 'test'
+            OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY part"""),
     "select_missing": (select_missing, f"""WITH {c.SHAPED_EVENTS}, m AS ({MISSING_SHARE})
         SELECT feature, s > 0.1 AS dropped, round(s, 4) AS score FROM m"""),
     "select_variance": (select_variance, f"""WITH {c.SHAPED_EVENTS}, m AS ({SPREAD})

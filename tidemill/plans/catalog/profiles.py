@@ -39,6 +39,12 @@ def quantiles_narrowed(spark, d):
     return spark.createDataFrame(rows, "column string, prob double, value double").withColumn("value", F.round("value", 6))
 
 
+def zero_of_two_signs(spark, d):
+    """A column of 0.0 and -0.0 is constant."""
+    signed = c.table(spark, d, "lineitem").select(F.expr("CASE WHEN l_tax > 0.04 THEN -0.0D ELSE 0.0D END AS nought"), "l_linenumber")
+    return quality.quality_zero_variance(signed)
+
+
 def narrowed_sql():
     return c.union_all(f"""SELECT '{n}' AS "column", CAST({p} AS DOUBLE) AS prob,
         round(quantile_cont(CAST({n} AS DOUBLE), {p}), 6) AS value FROM lineitem""" for n in NARROWED for p in (0.25, 0.5, 0.9))
@@ -239,6 +245,8 @@ def groups_sql(a, g):
 GROUP_PAIRS = c.union_all(groups_sql(a, g) for a, g in product(("o_orderkey", "o_totalprice"), c.BANDED_CATEGORIES))
 
 QUERIES = {
+    "quality_zero_signs": (zero_of_two_signs, """SELECT 'nought' AS "column", CAST(1 AS BIGINT) AS unique_count,
+        '0.0' AS constant_value, count(*) AS non_null_count, count(*) AS total_rows FROM lineitem"""),
     "quantiles_narrowed": (quantiles_narrowed, narrowed_sql()),
     "describe_numeric": (_described, describe_numeric_checked()),
     "describe_categorical": (lambda spark, d: profile.describe_categorical(
