@@ -80,7 +80,7 @@ def test_empty_table(none):
 
 def test_posterior_is_cautious():
     """Pairs at the threshold are hardly ever dropped, and far pairs are dropped after one batch."""
-    bounds = posterior_bounds(0.75, 1e-6)
+    bounds = posterior_bounds(0.75, 1e-5)
     rng = np.random.default_rng(1)
     matches = rng.binomial(1, 0.75, (20_000, 128)).cumsum(axis=1)
     dropped = np.zeros(20_000, bool)

@@ -27,7 +27,7 @@ def test_spans_are_those_of_the_patterns(odd, documents, tmp_path):
         found = {r.blob: r.spans for r in by_blob(update(docs, own, ledger)).collect()}
         for _, text in pairs(docs):
             assert found.get(sha256((text or "").encode()).hexdigest(), "") == spans(text)
-        assert found
+        assert found or n
 
 
 def test_failing_matches_still_take_their_text(spark, tmp_path):

@@ -20,16 +20,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = stage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(links)
-    while True:
+    while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # staged, so that the join's skewed side can be split
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        release(least)
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        release(links, large)
+        release(links, large, least)
         links, before, mark = following, mark, _mark(following)
         if mark == before:
-            roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+            break
+    roots = links.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())

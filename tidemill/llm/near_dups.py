@@ -1,21 +1,20 @@
 """Near duplicates: banded MinHash candidates, sequential Bayesian verification, exact confirmation.
 
-1. Each whole text becomes its set of distinct word shingles and a signature of 128 lanes. Equal sets are
+1. Each whole text becomes its set of distinct word shingles and a signature of 360 lanes. Equal sets are
    collapsed to one representative first, so copies never meet as pairs.
-2. 32 bands of 4 lanes put representatives into buckets. Two sets of similarity 0.75 share no bucket with a probability of
-   5e-6.
+2. 60 bands of 6 lanes put representatives into buckets. Two sets of similarity 0.75 share no bucket with a probability of
+   8e-6; sets that share a passage but little else hardly ever meet.
 3. Within a bucket all members are compared with a leader, not with each other. Signatures are compared batch by
    batch; a pair goes when the posterior (uniform prior, binomial matches) leaves a similarity of the threshold or more
    a probability below ``MISS``. Survivors are confirmed on the full sets.
-4. Jaccard distance is a metric, so the leader's distances settle most other pairs of the bucket: two members linked with
-   the leader are in one component already, and a linked member x cannot be linked with an unlinked y where
-   d(y, leader) - d(x, leader) exceeds the threshold. Settled members leave the bucket; the rest go another
-   round with more leaders. The rounds end when no bucket has two members left, so every candidate pair is compared, or proven
-   to be unlinked, or already in one component. There is no cap on buckets or partners.
+4. After each turn the links found so far are joined to components, and a leader, compared with all, leaves its buckets.
+   A bucket whose members are in one component is done. What is left goes another turn, with leaders from all components
+   of the bucket but the largest, more of them each turn. The turns end when no bucket holds two components, so every
+   candidate pair is compared or already in one component. There is no cap on buckets or partners.
 5. Links are joined to components.
 
 Buckets are never gathered in one task: leaders come from partial aggregation, members meet them in joins whose
-skewed side the adaptive planner splits.
+skewed side the adaptive planner splits, or in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -33,14 +32,15 @@ from tidemill.functions.durable import release, stage
 from tidemill.llm.components import components
 from tidemill.llm.shingles import LANES, MinHasher, WordHashes, common, shingle_set
 
-BANDS, ROWS = 32, 4
-BATCH = 16
-MISS = 1e-6
-FIRST_LEADERS, MORE_LEADERS = 32, 4
+BANDS, ROWS = 60, 6
+SCREENED, BATCH = 128, 16  # lanes that verification looks at, and how many at a time
+MISS = 1e-5
+COMPONENTS, MORE = 32, 4
+PART, WIDE_BATCH = 2000, 24
 BROADCAST_IDS = 1_000_000
 
 
-def posterior_bounds(threshold: float, miss: float, lanes: int = LANES, batch: int = BATCH) -> np.ndarray:
+def posterior_bounds(threshold: float, miss: float, lanes: int = SCREENED, batch: int = BATCH) -> np.ndarray:
     """For batch k and m matches: the similarity that the posterior exceeds with probability ``miss``.
 
     With a uniform prior, P(similarity >= t) after m matches in n lanes is P(Binomial(n + 1, t) <= m).
@@ -79,27 +79,24 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _screen(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(a, b, keep, far): ``far`` is a bound from below on the distance of pairs that are not kept."""
+    """(a, b, keep): whether the posterior, batch after batch, leaves the pair a chance."""
     bounds = posterior_bounds(threshold, miss)
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, LANES) for c in ("sa", "sb"))
-            keep, far = np.ones(len(batch), bool), np.zeros(len(batch))
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, SCREENED) for c in ("sa", "sb"))
             open_, matches = np.arange(len(batch)), np.zeros(len(batch), int)
-            for k in range(LANES // BATCH):
+            for k in range(SCREENED // BATCH):
                 lanes = slice(k * BATCH, (k + 1) * BATCH)
                 matches[open_] += (a[open_, lanes] == b[open_, lanes]).sum(axis=1)
-                highest = bounds[k, matches[open_]]
-                far[open_] = np.maximum(far[open_], 1 - highest)
-                keep[open_] &= highest >= threshold
-                # dropped pairs go on only until their bound settles the bucket's other pairs too
-                open_ = open_[keep[open_] | (highest > 2 * threshold - 1)]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "keep": keep, "far": far})
+                open_ = open_[bounds[k, matches[open_]] >= threshold]
+            keep = np.zeros(len(batch), bool)
+            keep[open_] = True
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "keep": keep})
 
-    left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return stage(pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long, keep boolean, far double"), "screened")
+    lanes = F.substring("sig", 1, 2 * SCREENED)
+    left, right = (sigs.select(F.col("rep").alias(x), lanes.alias(f"s{x}")) for x in "ab")
+    return stage(pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long, keep boolean"), "screened")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -123,24 +120,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _members(sigs: DataFrame) -> DataFrame:
-    """(band, rep) of buckets with two members or more."""
+    """(band, place, rep) of buckets with two members or more; place is the band's number."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * ROWS * 2 + 1, ROWS * 2)) for k in range(BANDS)])
-    banded = sigs.select("rep", F.explode(keys).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
+    banded = sigs.select("rep", F.posexplode(keys).alias("place", "band"))
+    shared = stage(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "shared")
     return stage(banded.join(shared, "band"), "buckets")
 
 
-def _pairs(members: DataFrame, leaders_each: int, turn: int) -> DataFrame:
-    """(band, lead, rep): every member with each leader of its bucket."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
-    if leaders_each == 1:
-        return members.join(sizes.select("band", F.col("first").alias("lead")), "band").filter("rep <> lead")
-    draw = F.pmod(F.xxhash64(F.lit(turn), "band", "rep"), F.ceil(F.col("size") / leaders_each))
-    leaders = members.join(sizes, "band").filter((draw == 0) | (F.col("rep") == F.col("first"))) \
-        .select("band", F.col("rep").alias("lead"))
-    return members.join(leaders, "band").filter("rep <> lead")
-
-
 def _candidate_texts(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
     """Texts of the ids that share a bucket with another; a table of ids beyond a checked size is not broadcast."""
     ids = stage(members.select(F.col("rep").alias("id")).distinct(), "bucket-ids")
@@ -149,39 +135,98 @@ def _candidate_texts(docs: DataFrame, id_col: str, text_col: str, members: DataF
     return stage(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
 
 
-def near_links(docs: DataFrame, sigs: DataFrame, percent: int = 75, miss: float = MISS, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """(u, v) of confirmed links that connect whatever the bands and the posterior connect."""
-    threshold, apart = percent / 100, 1 - percent / 100
+def _leaders(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Of (band, place, rep, comp): the rows of buckets that hold several components, and those of them that lead.
+
+    Every pair still to be judged has a member outside its bucket's largest component, so leaders come from the others: of
+    each a few members, more each turn; and where a bucket holds very many components, of some, more each turn. What
+    leads in one bucket leads in all of its own.
+    """
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
+    buckets = stage(parts.groupBy("band").agg(
+        F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.min("comp").alias("lowest"))
+        .filter("comps > 1"), "open-buckets")
+    left = stage(placed.join(buckets.select("band"), "band"), "open-members")
+    some = F.pmod(F.xxhash64(F.lit(turn), "comp"), F.ceil(F.col("comps") / (COMPONENTS * MORE ** (turn - 1)))) == 0
+    others = stage(parts.join(buckets, "band").filter(F.col("comp") != F.col("main"))
+                   .filter(some | (F.col("comp") == F.col("lowest")) | (F.col("main") == F.col("lowest")))
+                   .select("band", "comp", "size", "first"), "led")
+    drawn = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.ceil(F.col("size") / MORE ** (turn - 1))) == 0
+    names = stage(left.join(others, ["band", "comp"]).filter(drawn | (F.col("rep") == F.col("first")))
+                  .select("rep").distinct(), "leaders")
+    return left, names
+
+
+def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b) of a leader and a member of another component that share a bucket and that the posterior does not drop.
+
+    Buckets are cut into parts of about ``PART`` members, and each part is compared with its leaders' signatures in one
+    task, which sends on only what is left. A pair that shares several buckets is looked at in the first of its bands: where
+    it is not there any more, it was judged in an earlier turn or is in one component.
+    """
+    bounds = posterior_bounds(threshold, miss, LANES, WIDE_BATCH)
+
+    def compare(members: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        found = [np.empty((0, 2), np.int64)]
+        if len(members) and len(heads):
+            rows = np.frombuffer(b"".join(members["sig"]), np.uint16).reshape(-1, LANES)
+            reps, comps, place = members["rep"].to_numpy(), members["comp"].to_numpy(), members["place"].iat[0]
+            for lead, comp, sig in zip(heads["l_rep"], heads["l_comp"], heads["l_sig"]):
+                other = np.flatnonzero(comps != comp)
+                same = rows[other] == np.frombuffer(sig, np.uint16)
+                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == place
+                open_, same = other[first], same[first]
+                matches = np.zeros(len(open_), int)
+                for k in range(LANES // WIDE_BATCH):
+                    matches += same[:, k * WIDE_BATCH:(k + 1) * WIDE_BATCH].sum(axis=1)
+                    left_ = bounds[k, matches] >= threshold
+                    open_, same, matches = open_[left_], same[left_], matches[left_]
+                both = np.column_stack([np.full(len(open_), lead), reps[open_]])
+                found.append(np.sort(both, axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    parts = stage(left.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "bucket-parts")
+    full = sigs.select("rep", "sig")
+    sized = left.join(parts, "band").join(full, "rep")
+    members = sized.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    heads = sized.join(names, "rep").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heads = heads.select(*[F.col(c).alias(f"l_{c}") for c in ("band", "part", "rep", "comp", "sig")])
+    both = members.select("band", "part", "place", "rep", "comp", "sig").groupBy("band", "part").cogroup(heads.groupBy("l_band", "l_part"))
+    return stage(both.applyInPandas(compare, "a long, b long").distinct(), "met")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs (a, b) whose full sets are near; the nearest texts count where ids have several."""
+    return stage(_confirm(pairs, texts).filter(F.expr(f"100 * inter >= {percent} * total"))
+                 .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near")
+
+
+def near_components(docs: DataFrame, sigs: DataFrame, given: DataFrame, percent: int = 75, miss: float = MISS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, root) of the components of the ``given`` links (u, v) and of all confirmed links between bucket members."""
+    threshold = percent / 100
     members = _members(sigs)
     texts = _candidate_texts(docs, id_col, text_col, members)
-    found, leaders, turn = [], 1, 0
-    while not members.isEmpty():
-        wide = stage(_pairs(members, leaders, turn), "bucket-pairs")
-        pairs = wide.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
-        screened = _screen(pairs, sigs, threshold, miss)
-        exact = _confirm(screened.filter("keep"), texts).groupBy("a", "b").agg(
-            F.max_by(F.struct("inter", "total"), F.col("inter") / F.col("total")).alias("s")).select("a", "b", "s.*")
-        near = F.coalesce(F.expr(f"100 * inter >= {percent} * total"), F.lit(False))
-        judged = stage(screened.join(exact, ["a", "b"], "left").select(
-            "a", "b", near.alias("near"),
-            F.coalesce(1 - F.col("inter") / F.col("total"), F.col("far")).alias("d")), "judged")
-        found.append(judged.filter("near").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        seen = stage(wide.select("band", "lead", "rep", F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-                     .join(judged, ["a", "b"]).select("band", "lead", "rep", "near", "d"), "seen")
-        nearest = seen.groupBy("band", "lead").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("gap"))
-        settled = seen.filter("near").join(nearest, ["band", "lead"]) \
-            .filter(F.col("gap").isNull() | (F.col("d") < F.col("gap") - apart - 1e-9)).select("band", "rep") \
-            .unionByName(nearest.select("band", F.col("lead").alias("rep"))).distinct()
-        left = members.join(settled, ["band", "rep"], "left_anti")
-        more = left.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-        following = stage(left.join(more, "band").select("band", "rep"), "buckets")
-        release(members, wide, screened, seen)
-        members, turn = following, turn + 1
-        leaders = FIRST_LEADERS * MORE_LEADERS ** (turn - 1)
+    comps = stage(components(given), "components")
+    # the first turn: one leader for each bucket, the same in most of a group's buckets
+    first = stage(members.groupBy("band").agg(F.min("rep").alias("a")), "leaders")
+    pairs = stage(members.join(first, "band").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links, turn = _confirmed(_screen(pairs, sigs, threshold, miss).filter("keep"), texts, percent), 0
+    settled = first.select("band", F.col("a").alias("rep"))
+    while True:
+        if not links.isEmpty():
+            comps = stage(components(links.unionByName(comps.select(F.col("id").alias("u"), F.col("root").alias("v")))), "components")
+        rest = members.select("band", "place", "rep").join(settled, settled.columns, "left_anti")
+        placed = stage(rest.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "band", "place", "rep", F.coalesce("root", "rep").alias("comp")), "placed")
+        turn += 1
+        members, settled = _leaders(placed, turn)
+        if settled.isEmpty():
+            break
+        met = _by_leaders(members, settled, sigs, threshold, miss)
+        links = _confirmed(met, texts, percent)
     release(texts)
-    empty = sigs.sparkSession.createDataFrame([], "u long, v long")
-    return reduce(DataFrame.unionByName, found, empty)
+    return comps
 
 
 def near_groups(docs: DataFrame, percent: int = 75, miss: float = MISS, id_col: str = "doc_id",
@@ -201,8 +246,7 @@ def near_groups(docs: DataFrame, percent: int = 75, miss: float = MISS, id_col:
     # an id with several texts connects their sets
     several = reps.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("most"), F.collect_set("rep").alias("all")) \
         .filter("v < most").select(F.explode("all").alias("u"), "v")
-    links = near_links(docs, sigs, percent, miss, id_col, text_col).unionByName(several)
-    roots = components(links)
+    roots = near_components(docs, sigs, several, percent, miss, id_col, text_col)
     named = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left") \
         .groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
     out = sets.select("id", "n").join(named, "id", "left")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-LANES = 128
+LANES = 360
 CACHED_WORDS = 300_000
 LONG = 4096  # shingles hashed at once: bounds the memory of a very long text
 
