@@ -47,7 +47,7 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "b"), (2, [1.0, 0.0], "b"), (3, None, "c"), (4, [0.0, 0.0], "d"),
             (5, [nan, 1.0], "e"), (6, [inf, 1.0], "f"), (7, [None, 1.0], "g"), (8, [1.0, 2.0, 3.0], "h"), (9, [0.0, 2.0], "i"),
             (None, [1.0, 1.0], "j"), (100, [0.5, 0.5], "k"), (200, None, "l")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, _query string")
     got = [tuple(r)[:3] for r in search(frame, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (0, 4, 9), (100, 1, 0), (100, 2, 1), (100, 3, 2), (100, 4, 9)]
     assert search(frame.limit(0), F.lit(True)).count() == 0

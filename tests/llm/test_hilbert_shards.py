@@ -54,6 +54,10 @@ def test_odd_rows_and_files(odd, tmp_path):
     write_shards(odd, placed, str(tmp_path / "shards"))
     back = odd.sparkSession.read.parquet(str(tmp_path / "shards"))
     assert back.count() == odd.count() and set(odd.columns) < set(back.columns)
+    clash = odd.withColumns({"shard": F.lit("own"), "_slot": F.lit(1)})
+    assert write_shards(clash, placed, str(tmp_path / "clash")) == "_shard"
+    again = odd.sparkSession.read.parquet(str(tmp_path / "clash"))
+    assert {r.shard for r in again.collect()} == {"own"} and again.select("_shard").distinct().count() == 4
     nulls = odd.withColumn("source", F.lit(None).cast("string"))
     assert hilbert_shards(nulls, shards=4, dimensions=("source", "doc_id")).count() == odd.count()
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemill.functions.columns import col
+from tidemill.functions.columns import col, free_name
 from tidemill.functions.durable import release, stage
 
 BITS, SUBSTRING = 128, 16
@@ -149,9 +149,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     no part. Rows that repeat an id count once. With fewer candidates than k all are returned.
     """
     spark = vectors.sparkSession
-    valid = vectors.withColumn("_query", is_query).filter(usable(col(vector_col)) & col(id_col).isNotNull()) \
+    mark = free_name(vectors, "_query")
+    valid = vectors.withColumn(mark, is_query).filter(usable(col(vector_col)) & col(id_col).isNotNull()) \
         .select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("vector"),
-                F.coalesce("_query", F.lit(False)).alias("asked"))
+                F.coalesce(F.col(mark), F.lit(False)).alias("asked"))
     sizes = valid.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.count_if("asked").alias("q"))
     usual = sizes.orderBy(F.desc("n"), "size").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

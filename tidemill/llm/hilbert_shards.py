@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemill.functions.columns import col
+from tidemill.functions.columns import col, free_name
 from tidemill.functions.durable import stage
 from tidemill.llm.columns import whole
 
@@ -153,14 +153,20 @@ def shard_bounds(placed: DataFrame) -> DataFrame:
         f(c).alias(f"{n}_{c[2:]}") for c in dims for n, f in (("min", F.min), ("max", F.max))])
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """``docs`` below ``path`` as shard=N folders of Parquet, each in the order of its slots."""
-    place = placed.select(F.col("id").alias("_shard_id"), F.col("mark").alias("_shard_mark"), "shard", "slot") \
-        .dropDuplicates(["_shard_id", "_shard_mark"])
-    marked = docs.withColumn("_mark", F.xxhash64(whole(docs, text_col)))
-    both = marked.join(place, marked[id_col].eqNullSafe(place["_shard_id"]) & (marked["_mark"] == place["_shard_mark"]))
-    both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot") \
-        .select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """``docs`` below ``path`` as folders of Parquet, one for each shard, each in the order of its slots.
+
+    Gives the name of the shard column, which is prefixed where ``docs`` has a column ``shard``. Rows that repeat an id and
+    text go to the shard of one of them.
+    """
+    shard, slot, mark, own = (free_name(docs, n) for n in ("shard", "_slot", "_mark", "_own"))
+    place = placed.select(F.col("id").alias(own), F.col("mark").alias(mark + "_r"), F.col("shard").alias(shard), F.col("slot").alias(slot)) \
+        .dropDuplicates([own, mark + "_r"])
+    marked = docs.withColumn(mark, F.xxhash64(whole(docs, text_col)))
+    both = marked.join(place, marked[id_col].eqNullSafe(place[own]) & (marked[mark] == place[mark + "_r"]))
+    both.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot) \
+        .select(*map(col, docs.columns), shard).write.partitionBy(shard).parquet(path)
+    return shard
 
 
 def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:
