@@ -31,12 +31,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, mark, dropped): sorted positions of the lines that a document loses, for documents that lose any."""
     lines = stage(_line_keys(docs, id_col, text_col, min_points), "lines")
-    often = lines.groupBy("h1", "h2").agg(
-        (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("docs"), F.min("id").alias("first")) \
-        .filter(F.col("docs") >= min_docs).drop("docs")
+    often = stage(lines.groupBy("h1", "h2").agg(
+        (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("docs"), F.min("id").alias("first"))
+        .filter(F.col("docs") >= min_docs).drop("docs"), "often")
     out = stage(lines.join(often, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first")))
                 .groupBy("id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("dropped")), "dropped")
-    release(lines)
+    release(lines, often)
     return out
 
 
