@@ -71,14 +71,13 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def _scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finders = {f"{r.name}@{r.version}": (r, r.finder()) for r in rules}
+        finders = [(r, r.finder()) for r in rules]
         for batch in batches:
             rows = []
             for blob, text, todo in zip(batch["blob"], batch["text"], batch["todo"]):
                 low = text.lower()
-                for key in todo:
-                    rule, spans = finders[key]
-                    rows.append((blob, rule.name, rule.version, [{"start": s, "end": e} for s, e in spans(text, low)]))
+                rows += [(blob, rule.name, rule.version, [{"start": s, "end": e} for s, e in spans(text, low)])
+                         for k, (rule, spans) in enumerate(finders) if todo >> k & 1]
             yield pd.DataFrame(rows, columns=["blob", "rule", "version", "spans"])
 
     return texts.select("blob", "text", "todo").mapInPandas(run, LEDGER)
@@ -95,15 +94,16 @@ def update(docs: DataFrame, own: DataFrame, ledger: str, rules: tuple[Rule, ...]
     known = open_ledger(spark, ledger)
     seen = known.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("seen"))
     blobs = own.groupBy("blob").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    lacking = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = stage(blobs.join(seen, "blob", "left").select("blob", F.col("first.id").alias("id"), lacking.alias("todo"))
-                   .filter(F.size("todo") > 0), "unseen")
-    few = unseen.count() <= BROADCAST_BLOBS
+    # one bit for each rule that has not seen the blob
+    lacking = sum((F.when(F.array_contains(F.coalesce("seen", F.array().cast("array<string>")), n), 0).otherwise(1 << k)
+                   for k, n in enumerate(names)), F.lit(0))
+    unseen = stage(blobs.join(seen, "blob", "left").select(F.xxhash64("blob").alias("name"), F.col("first.id").alias("id"),
+                                                           lacking.alias("todo")).filter("todo > 0"), "unseen")
+    few = unseen.count() <= BROADCAST_BLOBS  # of two numbers and a bit map each
     texts = docs.select(col(id_col).alias("own"), whole(docs, text_col).alias("text")) \
-        .withColumn("blob", F.sha2("text", 256)).withColumnRenamed("own", "id")
+        .withColumn("blob", F.sha2("text", 256)).withColumnRenamed("own", "id").withColumn("name", F.xxhash64("blob"))
     chosen = texts.join(F.broadcast(unseen) if few else unseen,
-                        texts["id"].eqNullSafe(unseen["id"]) & (texts["blob"] == unseen["blob"])) \
-        .select(texts["blob"], "text", "todo")
+                        texts["id"].eqNullSafe(unseen["id"]) & (texts["name"] == unseen["name"])).select("blob", "text", "todo")
     if not unseen.isEmpty():
         _scan(chosen, rules).write.parquet(f"{ledger}/{fresh_path(spark, 'scan').rsplit('/', 1)[1]}")
     current = F.concat_ws("@", "rule", F.col("version").cast("string")).isin(names)
