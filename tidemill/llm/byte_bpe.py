@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemill.functions.columns import col, free_name
 
 STRETCH = 2_000_000
-CACHED_WORDS = 300_000
-ROWS_AT_ONCE = 1_500_000
+CACHED_WORDS = 500_000
+ROWS_AT_ONCE = 500_000
 TURNS = 64
 MEMORY = "400MB"
 
@@ -48,7 +48,7 @@ WITH RECURSIVE step(turn, word, pos, token) AS (
     SELECT turn + 1, word, CASE WHEN pos > (pair & 4294967295) THEN pos - 1 ELSE pos END,
         CASE WHEN pos = (pair & 4294967295) THEN (pair >> 32)::INTEGER ELSE token END
     FROM step JOIN best USING (word) WHERE pos <> (pair & 4294967295) + 1))
-SELECT word, token, turn FROM step QUALIFY turn = max(turn) OVER (PARTITION BY word) ORDER BY word, pos"""
+SELECT word, token, turn FROM step JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) USING (word, turn) ORDER BY word, pos"""
 
 DECODE = """
 SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc"""
