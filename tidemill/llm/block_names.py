@@ -106,7 +106,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group is kept, also where rows repeat an id.
     """
     members = text_identities(docs, id_col, text_col, block_bytes)
-    groups = members.groupBy("identity").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size"))
+    # staged, so that the planner can split the side of a large group's members
+    groups = stage(members.groupBy("identity").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("group_size")), "groups")
     return members.join(groups, "identity").select(
         "id", F.col("top.id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "sha256")
 
