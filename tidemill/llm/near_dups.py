@@ -261,7 +261,9 @@ def drop_near_copies(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     groups = stage(near_groups(docs, percent, id_col=id_col, text_col=text_col), "groups")
     copy = free_name(docs, "_copy")
-    copies = groups.filter("id <> component_id").select(F.col("id").alias(copy)).distinct()
+    copies = stage(groups.filter("id <> component_id").select(F.col("id").alias(copy)).distinct(), "copies")
+    few = copies.count() <= BROADCAST_IDS  # of one number each; beyond that both sides are shuffled by id
+    copies = F.broadcast(copies) if few else copies
     again = stage(groups.filter("id = component_id").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
                   .select(F.col("id").alias(copy)), "repeated-ids")
     left = docs.join(copies, docs[id_col] == copies[copy], "left_anti")

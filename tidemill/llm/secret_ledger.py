@@ -150,6 +150,8 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col
         F.when((s["start"] >= acc["end"]), F.concat(acc["keep"], F.array(F.struct(
             acc["end"].alias("from"), (s["start"] - acc["end"]).alias("size"))))).otherwise(acc["keep"]).alias("keep")))
     gaps = stage(spans.select(F.col("blob").alias(blob), merged.alias(cover)), "gaps")
+    pieces = gaps.agg(F.sum(F.size(F.col(cover)["keep"]) + 8)).first()[0] or 0
+    gaps = F.broadcast(gaps) if pieces <= BROADCAST_BLOBS else gaps  # measured: eight bytes a piece and a name each
     marked = docs.withColumn(blob, F.sha2(whole(docs, text_col), 256)).join(gaps, blob, "left")
     text = whole(docs, text_col)
     kept = F.transform(F.col(cover)["keep"], lambda k: F.substring(text, k["from"] + 1, k["size"]))
