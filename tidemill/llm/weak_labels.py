@@ -159,7 +159,7 @@ def fit_labels(counts: dict[str, int], rounds: int = 100) -> LabelModel:
     n = np.array([counts[p] for p in patterns], float)
     good = np.array([0.05 if "-" in p else 0.95 for p in patterns])
     model = LabelModel(0.95, np.tile([[0.6, 0.4], [0.02, 0.98]], (len(LABELLERS), 1, 1)))
-    cast = np.array([list(p) for p in patterns]).reshape(len(patterns), -1)
+    cast = np.array([list(p) for p in patterns]).reshape(len(patterns), len(LABELLERS))
     for _ in range(rounds if patterns else 0):
         share = float(np.clip((n * good).sum() / n.sum(), 1e-3, 1 - 1e-3))
         chances = np.array([[[w[cast[:, k] == v].sum() + 0.5 for v in "-+"] for w in (n * (1 - good), n * good)]
