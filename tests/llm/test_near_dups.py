@@ -1,11 +1,12 @@
 import random
+from math import comb
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components
-from tidemill.llm.near_dups import drop_near_copies, near_groups, posterior_bounds
-from tidemill.llm.shingles import MinHasher, WordHashes, shingle_set
+from tidemill.llm.near_dups import BATCH, MISS, SCREENED, WIDE_BATCH, drop_near_copies, near_groups, posterior_bounds
+from tidemill.llm.shingles import LANES, MinHasher, WordHashes, shingle_set
 
 from .conftest import pairs
 
@@ -80,7 +81,7 @@ def test_empty_table(none):
 
 def test_posterior_is_cautious():
     """Pairs at the threshold are hardly ever dropped, and far pairs are dropped after one batch."""
-    bounds = posterior_bounds(0.75, 1e-5)
+    bounds = posterior_bounds(0.75, 1e-6)
     rng = np.random.default_rng(1)
     matches = rng.binomial(1, 0.75, (20_000, 128)).cumsum(axis=1)
     dropped = np.zeros(20_000, bool)
@@ -90,6 +91,21 @@ def test_posterior_is_cautious():
     assert bounds[0, 0] < 0.6 and bounds[7, 128] == 1 or bounds[7, 128] > 0.99
 
 
+def test_chance_to_be_pruned():
+    """Worked out batch by batch, for pairs at the threshold and just above it."""
+    for lanes, batch, at_threshold, above in ((SCREENED, BATCH, 1e-5, 5e-7), (LANES, WIDE_BATCH, 2e-5, 1e-6)):
+        bounds = posterior_bounds(0.75, MISS, lanes, batch)
+        for similarity, most in ((0.75, at_threshold), (0.78, above)):
+            step = [comb(batch, m) * similarity ** m * (1 - similarity) ** (batch - m) for m in range(batch + 1)]
+            open_, pruned = np.ones(1), 0.0
+            for row in bounds:
+                open_ = np.convolve(open_, step)
+                gone = row[:len(open_)] < 0.75
+                pruned += open_[gone].sum()
+                open_[gone] = 0
+            assert pruned < most
+
+
 def test_signatures_estimate_similarity():
     words = [f"w{k}" for k in range(2000)]
     hashes, hasher = WordHashes(), MinHasher()

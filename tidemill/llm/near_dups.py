@@ -34,7 +34,7 @@ from tidemill.llm.shingles import LANES, MinHasher, WordHashes, common, shingle_
 
 BANDS, ROWS = 60, 6
 SCREENED, BATCH = 128, 16  # lanes that verification looks at, and how many at a time
-MISS = 1e-5
+MISS = 1e-6
 COMPONENTS, MORE = 32, 4
 PART, WIDE_BATCH = 2000, 24
 BROADCAST_IDS = 1_000_000
