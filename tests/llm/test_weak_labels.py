@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from tidemill.llm.weak_labels import (LABELLERS, PIECE, fit_labels, fit_scorer, keep_good, measures, pieces, scored, votes, words)
+from tidemill.llm.weak_labels import (LABELLERS, PIECE, SAMPLE_ROWS, drawn_by, fit_labels, fit_scorer, keep_good, measures, pieces,
+                                      scored, votes, words)
 
 
 def test_clean_documents_stay_and_junk_goes(spark):
@@ -41,6 +43,28 @@ def test_measures_do_not_depend_on_pieces():
     assert votes(all_)[0] == "0" * len(LABELLERS)
 
 
+def test_variety_is_that_of_the_whole_text():
+    """Words that come back in every piece of a long text count once, also between other texts."""
+    own = [f"word{k:06d}" for k in range(60_000)]
+    long = " ".join(own * 5)
+    assert len(long) > 3 * PIECE
+    texts = ["some words before before", long, "some words after", "", long + " one more", "last last"]
+    got = measures(map(words, pieces(texts)), len(texts))["variety"]
+    assert np.allclose(got, [3 / 4, 60_000 / 300_000, 1, 0, 60_002 / 300_002, 1 / 2], atol=0, rtol=1e-12)
+    assert votes(measures(map(words, pieces([long])), 1))[0][list(LABELLERS).index("variety")] == "-"
+
+
+def test_no_share_is_too_small_to_be_drawn(spark):
+    keys = spark.range(-2 ** 63, 2 ** 63 - 2 ** 55, 2 ** 48)  # even over all hashes
+    key = F.col("id")
+    for total in (10 ** 5, 10 ** 7):
+        share = 0.9 * SAMPLE_ROWS / total
+        assert abs(keys.filter(drawn_by(key, share)).count() - 2 ** 16 * share) <= 1
+    ends = spark.createDataFrame([(-2 ** 63,), (-2 ** 63 + 10 ** 9,), (0,), (2 ** 63 - 1,)], "id long")
+    assert ends.filter(drawn_by(key, 0.9 * SAMPLE_ROWS / 10 ** 11)).count() == 2
+    assert ends.filter(drawn_by(key, 1.0)).count() == 4
+
+
 def test_odd_rows(odd, none):
     scorer = fit_scorer(odd)
     got = scored(odd, scorer, with_votes=True)

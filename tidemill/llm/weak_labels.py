@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import col, free_name
 
 SAMPLE_ROWS = 4000
 BITS = 16
-PIECE = 1 << 20  # bytes looked at together; longer texts are cut at a blank, so memory does not grow with them
+PIECE = 1 << 20  # bytes looked at together; longer texts are cut at a blank, and only their distinct hashes are held
 
 # classes of bytes: 1 lower-case letter, 2 upper-case letter, 3 digit, 4 blank, 5 punctuation, 6 beyond ASCII, 0 other
 CLASS = np.zeros(256, np.uint8)
@@ -93,14 +93,26 @@ def measures(parts: Iterable[dict[str, np.ndarray]], n: int) -> dict[str, np.nda
     """What the labellers look at, for each of ``n`` whole texts; shares are 0 where there is nothing to share."""
     sums = {c: np.zeros(n) for c in ("words", "again", "twin", "bare", "stop", "short", "distinct", "size")}
     classes = np.zeros((n, 7))
+    last, seen = -1, []  # the text that the next part may go on with, and its distinct hashes so far
     for w in parts:
         np.add.at(classes, w["owner"], w["classes"])
         text = w["text"]
         each = np.unique(w["hash"] ^ (text.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), return_index=True)[1]
         for name, rows, weight in (("words", text, None), ("again", text, w["again"]), ("twin", text, w["twin"]),
                                    ("bare", text, w["bare"]), ("stop", text, w["stop"]), ("size", text, w["length"]),
-                                   ("short", text, w["length"] <= 3), ("distinct", text[each], None)):
+                                   ("short", text, w["length"] <= 3)):
             sums[name] += np.bincount(rows, weight, n)
+        owners, hashes = text[each], w["hash"][each]
+        if w["owner"][0] == last:
+            seen.append(hashes[owners == last])
+        inside = (owners != last) & (owners != w["owner"][-1])
+        sums["distinct"] += np.bincount(owners[inside], None, n)
+        if w["owner"][-1] != last:
+            if seen:
+                sums["distinct"][last] = len(np.unique(np.concatenate(seen)))
+            last, seen = w["owner"][-1], [hashes[owners == w["owner"][-1]]]
+    if seen:
+        sums["distinct"][last] = len(np.unique(np.concatenate(seen)))
     many = np.maximum(1, sums["words"])
     letters = classes[:, 1] + classes[:, 2] + classes[:, 6]
     return {
@@ -214,6 +226,13 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bi
     return weights, bias
 
 
+def drawn_by(key: Column, share: float) -> Column:
+    """Whether a row with this 64-bit hash is among the ``share`` drawn: the whole hash is compared, so no share comes to nothing."""
+    if share >= 1:
+        return F.lit(True)
+    return key < F.lit(int(share * 2 ** 64) - 2 ** 63)
+
+
 def fit_scorer(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Scorer:
     """Votes of all documents, label model, and a scorer fitted on at most ``sample_rows`` of them."""
     def cast(texts: pd.Series) -> pd.Series:
@@ -237,7 +256,7 @@ def fit_scorer(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(rows, columns=["key", "votes", "at", "value"])
 
     key = F.xxhash64(col(id_col), text)
-    drawn = docs.select(key.alias("key"), text.alias("text")).filter(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = docs.select(key.alias("key"), text.alias("text")).filter(drawn_by(F.col("key"), share))
     sample = drawn.mapInPandas(gather, "key long, votes string, at binary, value binary").limit(sample_rows).toPandas()
     sample = sample.sort_values(["key", "votes"])
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["value"])]
