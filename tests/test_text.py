@@ -113,6 +113,21 @@ def test_spelling_groups_and_topics(spark):
     assert rows[6]["w_gap_0"] is None and all(v >= 0 for v in list(rows[0])[1:])
 
 
+def test_runs_of_characters_are_told_apart(spark):
+    """More distinct runs than 32,768 get a number each; beyond the vocabulary they are hashed and none is dropped."""
+    runs = [f"{k:05d}" for k in range(40_000)]
+    rows = [(k, runs[at:at + 100] + runs[at:at + 1]) for k, at in enumerate(range(0, len(runs), 100))] + [(400, [])]
+    values = spark.createDataFrame(rows, "k int, _grams array<string>").repartition(4)
+    exact = [r._counts for r in cluster.gram_counts(values).orderBy("k").collect()]
+    assert {v.size for v in exact} == {40_000} and exact[400].numNonzeros() == 0
+    assert sorted(int(i) for v in exact for i in v.indices) == list(range(40_000))
+    assert all(sorted(v.values)[-2:] == [1, 2] for v in exact[:400])
+    hashed = [r._counts for r in cluster.gram_counts(values, 39_999, 1 << 20).collect()]
+    assert {v.size for v in hashed} == {1 << 20} and sum(sum(v.values) for v in hashed) == 40_400
+    empty = cluster.gram_counts(values.filter("k = 400")).first()
+    assert empty._counts.size == 1 and empty._counts.numNonzeros() == 0
+
+
 def test_connected_groups_follow_chains(spark):
     nodes = spark.range(200).select(F.format_string("%03d", "id").alias("value"))
     edges = spark.range(198).filter("id <> 99").select(

@@ -15,7 +15,7 @@ from tidemill.operators.valuecounts import column_counts
 
 # Fixed value: default score
 SCORE = 85
-TOPIC_BUCKETS = 1 << 15
+TOPIC_VOCABULARY, TOPIC_BUCKETS = 1 << 18, 1 << 20
 METHODS = ("ratio", "partial_ratio", "token_sort_ratio")
 
 
@@ -254,19 +254,36 @@ def dedupe_values(df: DataFrame, column: str, overlap: float = 0.4) -> DataFrame
     return apply_map(df, column, spelling_map(df, column, overlap))
 
 
+def gram_counts(values: DataFrame, vocabulary: int = TOPIC_VOCABULARY, buckets: int = TOPIC_BUCKETS) -> DataFrame:
+    """``values`` with the counts of their runs ``_grams`` as vectors ``_counts``.
+
+    Up to ``vocabulary`` distinct runs get a number each, in their order. More of them would not fit the driver, so they are
+    hashed: no run is dropped, and of d runs a share of 1 - exp(-d / ``buckets``) shares its number with another.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, HashingTF
+
+    runs = stage(values.select(F.explode("_grams").alias("run")).filter("run IS NOT NULL").distinct(), "runs")
+    if runs.count() > vocabulary:
+        return HashingTF(numFeatures=buckets, inputCol="_grams", outputCol="_counts").transform(values)
+    known = sorted(r["run"] for r in runs.collect()) or [""]
+    return CountVectorizerModel.from_vocabulary(known, inputCol="_grams", outputCol="_counts").transform(values)
+
+
 def topic_encode(df: DataFrame, column: str, n_components: int = 10, grams: tuple[int, int] = (2, 4),
-                 seed: int = 42, iterations: int = 20) -> DataFrame:
-    """Non-negative topic activations of each value's character runs, as ``{column}_gap_{i}``."""
+                 seed: int = 42, iterations: int = 20, vocabulary: int = TOPIC_VOCABULARY,
+                 buckets: int = TOPIC_BUCKETS) -> DataFrame:
+    """Non-negative topic activations of each value's character runs, as ``{column}_gap_{i}``.
+
+    Up to ``vocabulary`` distinct runs are told apart exactly; more are hashed to ``buckets`` numbers.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
     require_categorical(df, column)
     values = stage(column_counts(df, column).select(
         col(column).cast("string").alias("_text"), F.col("n").alias("_n"),
         _word_grams(col(column).cast("string"), *grams).alias("_grams")), "values")
-    # hashed, so that no run of characters is dropped and no vocabulary goes through the driver
-    counted = HashingTF(numFeatures=TOPIC_BUCKETS, inputCol="_grams", outputCol="_counts").transform(values)
+    counted = gram_counts(values, vocabulary, buckets)
     model = LDA(k=max(2, n_components), maxIter=iterations, seed=seed, featuresCol="_counts",
                 topicDistributionCol="_topics").fit(counted)
     names = [f"{column}_gap_{i}" for i in range(n_components)]
