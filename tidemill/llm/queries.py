@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemill.llm.best_fit import op6_best_fit
 from tidemill.llm.block_names import OP1_SQL, op1_block_naming
 from tidemill.llm.byte_bpe import op4_byte_bpe
+from tidemill.llm.fill_middle import OP13_SQL, op13_fill_middle
 from tidemill.llm.hamming_index import op7_hamming_index
 from tidemill.llm.hilbert_shards import op2_hilbert_shards
 from tidemill.llm.line_dedup import OP10_SQL, op10_line_dedup
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_near_dups": (op8_near_dups, None),
     "op9_secret_ledger": (op9_secret_ledger, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op13_fill_middle": (op13_fill_middle, OP13_SQL),
 }
