@@ -11,6 +11,7 @@ from tidemill.llm.hilbert_shards import op2_hilbert_shards
 from tidemill.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tidemill.llm.near_dups import op8_near_dups
 from tidemill.llm.secret_ledger import op9_secret_ledger
+from tidemill.llm.source_mix import op11_source_mix
 from tidemill.llm.warc_derive import op3_warc_derive
 from tidemill.llm.weak_labels import op5_weak_labels
 
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_near_dups": (op8_near_dups, None),
     "op9_secret_ledger": (op9_secret_ledger, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_source_mix": (op11_source_mix, None),
     "op13_fill_middle": (op13_fill_middle, OP13_SQL),
 }
