@@ -7,6 +7,7 @@ from tidemill.llm.block_names import OP1_SQL, op1_block_naming
 from tidemill.llm.byte_bpe import op4_byte_bpe
 from tidemill.llm.fill_middle import OP13_SQL, op13_fill_middle
 from tidemill.llm.hamming_index import op7_hamming_index
+from tidemill.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from tidemill.llm.hilbert_shards import op2_hilbert_shards
 from tidemill.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tidemill.llm.near_dups import op8_near_dups
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_secret_ledger": (op9_secret_ledger, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
     "op11_source_mix": (op11_source_mix, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_fill_middle": (op13_fill_middle, OP13_SQL),
 }
