@@ -49,7 +49,7 @@ def test_odd_rows_against_all_pairs(spark, small):
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)], rng.randint(0, 2)) for i in range(250)]
     rows += [(1000 + i, [0.5, 0.5, 0.25, 0.0, 0.0, 0.1], i % 2) for i in range(60)]  # one very common vector, ties
     rows += [(2000 + i, [rng.gauss(0, 1) for _ in range(rng.choice([0, 1, 5]))], 1 if i % 3 else 0) for i in range(40)]  # lengths
-    rows += [(3000, None, 1), (3003, [1.0, None, 0, 0, 0, 0], 1), (3006, [math.nan] + [0.0] * 5, 1), (3009, [math.inf] + [0.0] * 5, 0),
+    rows += [(3000, None, 1), (3003, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (3006, [math.nan] + [0.0] * 5, 1), (3009, [math.inf] + [0.0] * 5, 0),
              (3012, [0.0] * 6, 0), (3015, [1.0] * 6, None), (None, [1.0] * 6, 1), (3, [9.0] * 6, 0), (3, [1.0] * 6, 0)]
     table = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("x")).withColumn("score", F.lit(1))
     assert got(table) == expected(rows, lambda i: i % 3 == 0)
