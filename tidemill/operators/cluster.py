@@ -11,6 +11,7 @@ from tidemill.functions.columns import ColumnError, col, q, require_categorical
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.ordered import global_index
+from tidemill.operators.subsequence_join import subsequence_pairs
 from tidemill.operators.valuecounts import column_counts
 
 # Fixed value: default score
@@ -85,14 +86,14 @@ def similar_pairs(values: DataFrame, threshold: float, method: str) -> DataFrame
     if method == "token_sort_ratio":
         text = F.array_join(F.array_sort(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")), " ")
     keyed = values.select("_rank", text.alias("text"))
-    grams = keyed.withColumn("gram", F.explode(_grams(F.col("text"), shared_run(threshold))))
-    length_a, length_b = F.char_length("a.text"), F.char_length("b.text")
-    close = F.col("a._rank") < F.col("b._rank")
-    if method != "partial_ratio":
-        bound = F.lit(threshold / 100.0)
-        close = close & (F.least(length_a, length_b) * 2 >= bound * (length_a + length_b) - 1e-9)
+    if method != "partial_ratio" and 0 < threshold <= 100:
+        keyed = stage(keyed, "keyed")
+        a, b = (keyed.select(F.col("_rank").alias(n), F.col("text").alias(x)) for n, x in (("better", "x"), ("worse", "y")))
+        met = subsequence_pairs(keyed, threshold).join(a, "better").join(b, "worse")
+        return met.filter(similarity(F.col("x"), F.col("y"), False) >= threshold).select("better", "worse")
     short = shared_run(threshold)
-    met = (grams.alias("a").join(grams.alias("b"), "gram").filter(close)
+    grams = keyed.withColumn("gram", F.explode(_grams(F.col("text"), short)))
+    met = (grams.alias("a").join(grams.alias("b"), "gram").filter(F.col("a._rank") < F.col("b._rank"))
            .select(F.col("a._rank").alias("better"), F.col("b._rank").alias("worse"),
                    F.col("a.text").alias("x"), F.col("b.text").alias("y")))
     if method == "partial_ratio" and short > 1:
