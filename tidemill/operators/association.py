@@ -12,7 +12,7 @@ from tidemill.functions.lookup import lookup_join
 from tidemill.functions.moments import ratio
 from tidemill.functions.tails import f_upper_tail
 from tidemill.operators.ordered import SLICE, global_index, in_slices, running_total
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 # Numbers of categories a column may have to be compared
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
@@ -73,10 +73,11 @@ def correlation(df: DataFrame, method: str = "pearson", columns: list[str] | Non
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """(column, _n, _rank): the mean 1-based position of each distinct value."""
+    n = count_name(column)
     sliced = in_slices(column_counts(df, column), [column])
-    before = running_total(sliced, [column], "n", "_before_all")
-    return before.select(col(column), F.col("n").alias("_n"),
-                         (F.col("_before_all") + (F.col("n") + 1) / 2.0).alias("_rank"))
+    before = running_total(sliced, [column], n, "_before_all")
+    return before.select(col(column), F.col(n).alias("_n"),
+                         (F.col("_before_all") + (F.col(n) + 1) / 2.0).alias("_rank"))
 
 
 def _with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemill.functions.columns import ColumnError, col, q, require_categorical
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 # Letters and marks that do not decompose into a base letter and an accent
 PLAIN_LETTERS = {
@@ -58,7 +58,7 @@ def normalize_text(df: DataFrame, column: str, steps: tuple[str, ...] = STEPS) -
     out, text = df, col(column).cast("string")
     if "unicode_normalize" in steps or "strip_accents" in steps:
         unusual = column_counts(df, column).filter(text.rlike(r"[^\x00-\x7F]"))
-        folded = stage(unusual.select(q(column), F.col("n").alias("_n"), _fold_characters(
+        folded = stage(unusual.select(q(column), F.col(count_name(column)).alias("_n"), _fold_characters(
             text, "unicode_normalize" in steps, "strip_accents" in steps).alias("_folded")), "folded")
         out = lookup_join(df, folded, column, "_n")
         text = F.coalesce(F.col("_folded"), text)
@@ -103,7 +103,7 @@ def harmonize_values(df: DataFrame, column: str, synonyms: dict[str, list[str]],
 def change_report(before: DataFrame, after_column: Column, column: str, samples: int = 5) -> DataFrame:
     """What a text change does to a column: counted on its distinct values, weighted by their rows."""
     counts = column_counts(before, column).select(
-        col(column).cast("string").alias("before"), "n", after_column.alias("after"))
+        col(column).cast("string").alias("before"), F.col(count_name(column)).alias("n"), after_column.alias("after"))
     return change_summary(counts, samples)
 
 

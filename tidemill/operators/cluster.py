@@ -12,7 +12,7 @@ from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.ordered import global_index
 from tidemill.operators.subsequence_join import subsequence_pairs
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 # Fixed value: default score
 SCORE = 85
@@ -147,7 +147,7 @@ def cluster_map(df: DataFrame, column: str, threshold: float = SCORE, method: st
     require_categorical(df, column)
     if method not in METHODS:
         raise ColumnError(f"unknown method {method!r}")
-    counts = column_counts(df, column).select(col(column).cast("string").alias("value"), "n")
+    counts = column_counts(df, column).select(col(column).cast("string").alias("value"), F.col(count_name(column)).alias("n"))
     counts = counts.withColumn("_order", -F.col("n"))
     ranked = stage(global_index(counts, ["_order", "value"], "_rank").drop("_order"), "ranked")
     if max_values is not None and ranked.count() > max_values:
@@ -205,7 +205,7 @@ def spelling_map(df: DataFrame, column: str, overlap: float = 0.4, grams: tuple[
     """
     require_categorical(df, column)
     counts = stage(column_counts(df, column).select(
-        col(column).cast("string").alias("value"), "n"), "values")
+        col(column).cast("string").alias("value"), F.col(count_name(column)).alias("n")), "values")
     sets = stage(counts.select("value", _word_grams(F.col("value"), *grams).alias("grams")), "sets")
     flat = sets.select("value", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     rarity = stage(flat.groupBy("gram").agg(F.count(F.lit(1)).alias("_seen"),
@@ -282,7 +282,7 @@ def topic_encode(df: DataFrame, column: str, n_components: int = 10, grams: tupl
 
     require_categorical(df, column)
     values = stage(column_counts(df, column).select(
-        col(column).cast("string").alias("_text"), F.col("n").alias("_n"),
+        col(column).cast("string").alias("_text"), F.col(count_name(column)).alias("_n"),
         _word_grams(col(column).cast("string"), *grams).alias("_grams")), "values")
     counted = gram_counts(values, vocabulary, buckets)
     model = LDA(k=max(2, n_components), maxIter=iterations, seed=seed, featuresCol="_counts",

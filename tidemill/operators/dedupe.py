@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemill.functions.columns import ColumnError, col, require
+from tidemill.functions.columns import ColumnError, col, free_name, require
 
 
 def drop_duplicate_rows(df: DataFrame, subset: list[str] | None = None, keep: str = "first",
@@ -20,27 +20,29 @@ def drop_duplicate_rows(df: DataFrame, subset: list[str] | None = None, keep: st
     require(df, *keys)
     rest = [c for c in df.columns if c not in keys]
     grouped = df.groupBy(*map(col, keys))
+    count, whole, tie = (free_name(df, name) for name in ("_n", "_row", "_tie"))
     if not rest:
-        counted = grouped.agg(F.count(F.lit(1)).alias("_n"))
-        kept = counted.filter("_n = 1") if keep == "none" else counted
+        counted = grouped.agg(F.count(F.lit(1)).alias(count))
+        kept = counted.filter(col(count) == 1) if keep == "none" else counted
         return kept.select(*map(col, df.columns))
     row = F.struct(*map(col, rest))
     if keep == "none":
-        reduced = grouped.agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row")) \
-            .filter("_n = 1")
+        reduced = grouped.agg(F.count(F.lit(1)).alias(count), F.any_value(row).alias(whole)) \
+            .filter(col(count) == 1)
     else:
         if not order_by:
             raise ColumnError("first and last need order_by: a table has no row order of its own")
         require(df, *order_by)
         # rows that tie are ordered by a hash of their cells, so that the same one stays in every run
-        order = F.struct(*map(col, order_by), F.xxhash64(*map(col, df.columns)).alias("_tie"))
-        reduced = grouped.agg((F.min_by if keep == "first" else F.max_by)(row, order).alias("_row"))
-    return reduced.select(*[col(c) if c in keys else F.col("_row").getField(c).alias(c)
+        order = F.struct(*map(col, order_by), F.xxhash64(*map(col, df.columns)).alias(tie))
+        reduced = grouped.agg((F.min_by if keep == "first" else F.max_by)(row, order).alias(whole))
+    return reduced.select(*[col(c) if c in keys else col(whole).getField(c).alias(c)
                             for c in df.columns])
 
 
 def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Rows beyond the first of each key."""
     keys = list(subset or df.columns)
-    groups = df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0).cast("bigint")).alias("duplicates"))
+    count = free_name(df, "_n")
+    groups = df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias(count))
+    return groups.agg(F.coalesce(F.sum(col(count) - 1), F.lit(0).cast("bigint")).alias("duplicates"))

@@ -13,7 +13,7 @@ from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.functions.moments import ratio
 from tidemill.operators.ordered import global_index
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 # Limits, defaults and the marker for missing categories
 ONE_HOT_WARN, ONE_HOT_LIMIT = 20, 100
@@ -94,7 +94,7 @@ def encode_risk(method: str, new_columns: int, cardinality: int, rows: int) -> d
 
 def _category_order(df: DataFrame, column: str) -> DataFrame:
     return stage(global_index(column_counts(df, column), [column], "_code")
-                 .select(q(column), F.col("n").alias("_n"), "_code"), "codes")
+                 .select(q(column), F.col(count_name(column)).alias("_n"), "_code"), "codes")
 
 
 def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore",
@@ -138,9 +138,9 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
 
     if method == "frequency":
         counts = stage(column_counts(source, column), "counts")
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        mapping = counts.select(q(column), F.col("n").alias("_n"),
-                                ratio(F.col("n"), F.lit(total)).alias("_share"))
+        total = counts.agg(F.sum(count_name(column))).first()[0] or 0
+        n = F.col(count_name(column))
+        mapping = counts.select(q(column), n.alias("_n"), ratio(n, F.lit(total)).alias("_share"))
         return Encoder(new_columns=[f"{name}_freq"], make=plain(f"{name}_freq", "_share"),
                        mapping=mapping, **common)
 
@@ -236,4 +236,4 @@ def encode_report(df: DataFrame, encoder: Encoder) -> DataFrame:
 def unmapped_categories(df: DataFrame, column: str, ordinal_mapping: dict[str, float]) -> DataFrame:
     return (column_counts(df, column)
             .filter(~col(column).cast("string").isin(list(ordinal_mapping)))
-            .select(col(column).alias("category"), "n"))
+            .select(col(column).alias("category"), F.col(count_name(column)).alias("n")))

@@ -11,7 +11,7 @@ from tidemill.functions.columns import ColumnError, col, q, require, require_num
 from tidemill.operators import ordered
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.sampling import position_blocks, values_at
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 
 @dataclass
@@ -76,7 +76,7 @@ def fit_value_fill(df: DataFrame, column: str, strategy: str, constant: Any = No
         require_numeric(df, column)
         value = exact_quantiles(df, [column], [0.5])[column][0]
     elif strategy == "mode":
-        best = column_counts(df, column).orderBy(F.desc("n"), F.asc(q(column))).first()
+        best = column_counts(df, column).orderBy(F.desc(count_name(column)), F.asc(q(column))).first()
         value = best[column] if best else None
     else:
         raise ColumnError(f"unknown strategy {strategy!r}")

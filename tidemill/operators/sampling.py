@@ -9,19 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.functions.columns import col
 from tidemill.operators.ordered import in_slices, running_total
-from tidemill.operators.valuecounts import column_counts
+from tidemill.operators.valuecounts import column_counts, count_name
 
 BLOCK = 64
 
 
 def position_blocks(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """(_block, _from, _to, _value) rows covering positions 0..n-1, and n."""
+    n = count_name(column)
     sliced = in_slices(column_counts(df, column), [column])
-    total = sliced.agg(F.sum("n")).first()[0] or 0
-    placed = running_total(sliced, [column], "n", "_from")
-    ranges = placed.select(F.col("_from"), (F.col("_from") + F.col("n")).alias("_to"),
-                           F.col(column).alias("_value"))
+    total = sliced.agg(F.sum(n)).first()[0] or 0
+    placed = running_total(sliced, [column], n, "_from")
+    ranges = placed.select(F.col("_from"), (F.col("_from") + F.col(n)).alias("_to"),
+                           col(column).alias("_value"))
     first = F.floor(F.col("_from") / BLOCK).cast("bigint")
     last = F.floor((F.col("_to") - 1) / BLOCK).cast("bigint")
     return ranges.withColumn("_block", F.explode(F.sequence(first, last))), total

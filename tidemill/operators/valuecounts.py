@@ -22,7 +22,12 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def count_name(column: str) -> str:
+    """The name of the count beside ``column``: n, or _n where the column itself is called so."""
+    return "_n" if column.lower() == "n" else "n"
+
+
 def column_counts(df: DataFrame, column: str) -> DataFrame:
-    """(column, n) with the column's own type, NULLs left out."""
+    """(column, ``count_name(column)``) with the column's own type, NULLs left out."""
     return (df.filter(col(column).isNotNull()).groupBy(col(column).alias(column))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.count(F.lit(1)).alias(count_name(column))))
