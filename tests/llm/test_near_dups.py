@@ -2,10 +2,12 @@ import random
 from math import comb
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemill.llm import near_dups
 from tidemill.llm.components import components
-from tidemill.llm.near_dups import BATCH, MISS, SCREENED, WIDE_BATCH, drop_near_copies, near_groups, posterior_bounds
+from tidemill.llm.near_dups import BATCH, MISS, drop_near_copies, near_groups, posterior_bounds
 from tidemill.llm.shingles import LANES, MinHasher, WordHashes, shingle_set
 
 from .conftest import pairs
@@ -43,8 +45,10 @@ def test_groups_are_those_of_brute_force(odd, documents):
         assert got(docs) == expected(pairs(docs))
 
 
-def test_chains_families_and_loose_buckets(spark):
+@pytest.mark.parametrize("part", [2000, 6])
+def test_chains_families_and_loose_buckets(spark, monkeypatch, part):
     """Chains whose ends are far apart, a family of near copies, and texts that share much without being near copies."""
+    monkeypatch.setattr(near_dups, "PART", part)  # buckets of several parts of members and of leaders
     draw = random.Random(3)
     word = lambda: "".join(draw.choices("abcdefghij", k=6))
     texts = []
@@ -81,7 +85,7 @@ def test_empty_table(none):
 
 def test_posterior_is_cautious():
     """Pairs at the threshold are hardly ever dropped, and far pairs are dropped after one batch."""
-    bounds = posterior_bounds(0.75, 1e-6)
+    bounds = posterior_bounds(0.75, 1e-6, 128, 16)
     rng = np.random.default_rng(1)
     matches = rng.binomial(1, 0.75, (20_000, 128)).cumsum(axis=1)
     dropped = np.zeros(20_000, bool)
@@ -93,7 +97,7 @@ def test_posterior_is_cautious():
 
 def test_chance_to_be_pruned():
     """Worked out batch by batch, for pairs at the threshold and just above it."""
-    for lanes, batch, at_threshold, above in ((SCREENED, BATCH, 1e-5, 5e-7), (LANES, WIDE_BATCH, 2e-5, 1e-6)):
+    for lanes, batch, at_threshold, above in ((128, 16, 1e-5, 5e-7), (LANES, BATCH, 2e-5, 1e-6)):
         bounds = posterior_bounds(0.75, MISS, lanes, batch)
         for similarity, most in ((0.75, at_threshold), (0.78, above)):
             step = [comb(batch, m) * similarity ** m * (1 - similarity) ** (batch - m) for m in range(batch + 1)]

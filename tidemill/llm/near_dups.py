@@ -4,9 +4,10 @@
    collapsed to one representative first, so copies never meet as pairs.
 2. 60 bands of 6 lanes put representatives into buckets. Two sets of similarity 0.75 share no bucket with a probability of
    8e-6; sets that share a passage but little else hardly ever meet.
-3. Within a bucket all members are compared with a leader, not with each other. Signatures are compared batch by
-   batch; a pair goes when the posterior (uniform prior, binomial matches) leaves a similarity of the threshold or more
-   a probability below ``MISS``. Survivors are confirmed on the full sets.
+3. Within a bucket members are compared with a leader, not with each other; at first each member meets one leader only,
+   the smallest of those of its buckets. Pairs whose set sizes alone rule the threshold out go; signatures are compared batch
+   by batch, and a pair goes when the posterior (uniform prior, binomial matches) leaves a similarity of the threshold or
+   more a probability below ``MISS``. Survivors of all lanes are confirmed on the full sets.
 4. After each turn the links found so far are joined to components, and a leader, compared with all, leaves its buckets.
    A bucket whose members are in one component is done. What is left goes another turn, with leaders from all components
    of the bucket but the largest, more of them each turn. The turns end when no bucket holds two components, so every
@@ -14,7 +15,7 @@
 5. Links are joined to components.
 
 Buckets are never gathered in one task: leaders come from partial aggregation, members meet them in joins whose
-skewed side the adaptive planner splits, or in parts of bounded size.
+skewed side the adaptive planner splits, or in parts that hold a bounded number of members and of leaders.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import col, free_name
 from tidemill.functions.durable import release, stage
@@ -33,14 +34,14 @@ from tidemill.llm.components import components
 from tidemill.llm.shingles import LANES, MinHasher, WordHashes, common, shingle_set
 
 BANDS, ROWS = 60, 6
-SCREENED, BATCH = 128, 16  # lanes that verification looks at, and how many at a time
 MISS = 1e-6
-COMPONENTS, MORE = 32, 4
-PART, WIDE_BATCH = 2000, 24
+COMPONENTS, MORE = 2, 4
+PART, BATCH = 2000, 24  # members or leaders of a part; lanes that verification looks at at a time
+BLOCK = 500_000  # shingles of the full sets that are held together
 BROADCAST_IDS = 1_000_000
 
 
-def posterior_bounds(threshold: float, miss: float, lanes: int = SCREENED, batch: int = BATCH) -> np.ndarray:
+def posterior_bounds(threshold: float, miss: float, lanes: int = LANES, batch: int = BATCH) -> np.ndarray:
     """For batch k and m matches: the similarity that the posterior exceeds with probability ``miss``.
 
     With a uniform prior, P(similarity >= t) after m matches in n lanes is P(Binomial(n + 1, t) <= m).
@@ -78,15 +79,20 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(out.withColumn("id", F.col("id").cast("bigint")), "sets")
 
 
+def _sizes_fit(a: str, b: str, threshold: float) -> Column:
+    """Whether sets of these sizes can reach the threshold: the smaller one cannot share more than all it has."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * round(100 * threshold)
+
+
 def _screen(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(a, b, keep): whether the posterior, batch after batch, leaves the pair a chance."""
     bounds = posterior_bounds(threshold, miss)
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, SCREENED) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, LANES) for c in ("sa", "sb"))
             open_, matches = np.arange(len(batch)), np.zeros(len(batch), int)
-            for k in range(SCREENED // BATCH):
+            for k in range(LANES // BATCH):
                 lanes = slice(k * BATCH, (k + 1) * BATCH)
                 matches[open_] += (a[open_, lanes] == b[open_, lanes]).sum(axis=1)
                 open_ = open_[bounds[k, matches[open_]] >= threshold]
@@ -94,29 +100,38 @@ def _screen(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
             keep[open_] = True
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "keep": keep})
 
-    lanes = F.substring("sig", 1, 2 * SCREENED)
-    left, right = (sigs.select(F.col("rep").alias(x), lanes.alias(f"s{x}")) for x in "ab")
-    return stage(pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long, keep boolean"), "screened")
+    left, right = (sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    sized = pairs.join(right, "b").join(left, "a").filter(_sizes_fit("na", "nb", threshold))
+    return stage(sized.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, keep boolean"), "screened")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, inter, total) on the full sets of both texts."""
-    def run(batches):
-        hashes, last, left = WordHashes(), None, None
-        for batch in batches:
-            inter, total = [], []
-            for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"]):
-                if a != last or ta is not text:
-                    last, text, left = a, ta, shingle_set(ta, hashes)
-                right = shingle_set(tb, hashes)
-                inter.append(common(left, right))
-                total.append(len(left) + len(right) - inter[-1])
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "inter": inter, "total": total})
+def _confirmed(asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the near pairs among ``asks`` (a, block, bs): a's full set against those of the ids bs, all of one block.
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return both.mapInPandas(run, "a long, b long, inter long, total long")
+    Sets lie in blocks of bounded size, so a set moves once to its block, not once a pair; many asks for one block are cut into
+    parts. The nearest texts count where ids have several.
+    """
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own, out = {}, []
+        for one, found in zip(held["id"], held["set"]):
+            own.setdefault(one, []).append(np.frombuffer(found, np.uint64))
+        for a, found, bs in zip(asked["a"], asked["a_set"], asked["bs"]) if own else ():
+            left = np.frombuffer(found, np.uint64)
+            for b in np.frombuffer(bs, np.int64):
+                for right in own[b]:
+                    inter = common(left, right)
+                    if 100 * inter >= percent * (len(left) + len(right) - inter):
+                        out.append((a, b))
+                        break
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    asks = stage(asks, "asks")
+    parts = stage(asks.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "ask-parts")
+    heads = asks.join(parts, "block").join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a") \
+        .select(F.col("block").alias("a_block"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("a_part"), "a", "a_set", "bs")
+    held = sets.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = heads.groupBy("a_block", "a_part").cogroup(held.select("block", "part", "id", "set").groupBy("block", "part"))
+    return stage(both.applyInPandas(compare, "u long, v long").distinct(), "near")
 
 
 def _members(sigs: DataFrame) -> DataFrame:
@@ -127,12 +142,27 @@ def _members(sigs: DataFrame) -> DataFrame:
     return stage(banded.join(shared, "band"), "buckets")
 
 
-def _candidate_texts(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
-    """Texts of the ids that share a bucket with another; a table of ids beyond a checked size is not broadcast."""
-    ids = stage(members.select(F.col("rep").alias("id")).distinct(), "bucket-ids")
-    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
+def _blocks(own: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(rep, block): blocks of about ``BLOCK`` shingles; members with one first leader share few blocks, however many they are."""
+    sized = stage(own.join(sigs.select("rep", "n"), "rep"), "sized")
+    groups = stage(sized.groupBy("own").agg(F.ceil(F.sum("n") / BLOCK).alias("parts")), "group-parts")
+    blocks = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    return stage(sized.join(groups, "own").select("rep", F.pmod(F.xxhash64("own", part), F.lit(blocks)).alias("block")), "blocks")
+
+
+def _candidate_sets(docs: DataFrame, id_col: str, text_col: str, blocks: DataFrame) -> DataFrame:
+    """(id, block, set) of the ids that share a bucket with another; a table of ids beyond a checked size is not broadcast."""
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "block": batch["block"],
+                                "set": [shingle_set(text, hashes).tobytes() for text in batch["text"]]})
+
+    ids = blocks.withColumnRenamed("rep", "id")
+    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
     few = ids.count() <= BROADCAST_IDS
-    return stage(plain.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+    return stage(plain.join(F.broadcast(ids) if few else ids, "id").mapInPandas(run, "id long, block long, set binary"), "full-sets")
 
 
 def _leaders(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -143,62 +173,73 @@ def _leaders(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     leads in one bucket leads in all of its own.
     """
     parts = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
-    buckets = stage(parts.groupBy("band").agg(
-        F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"), F.min("comp").alias("lowest"))
-        .filter("comps > 1"), "open-buckets")
+    by_size, by_hash = F.struct("size", "comp"), F.struct(F.xxhash64(F.lit(turn), "comp"), "comp")
+    buckets = parts.groupBy("band").agg(F.max_by("comp", by_size).alias("main"), F.min_by("comp", by_hash).alias("early"),
+                                        F.max_by("comp", by_hash).alias("late"), F.count("*").alias("comps"))
+    # the two ends are different components, so a bucket always has one that leads
+    buckets = stage(buckets.filter("comps > 1").withColumn("drawn", F.when(F.col("early") != F.col("main"), F.col("early"))
+                                                           .otherwise(F.col("late"))), "open-buckets")
     left = stage(placed.join(buckets.select("band"), "band"), "open-members")
-    some = F.pmod(F.xxhash64(F.lit(turn), "comp"), F.ceil(F.col("comps") / (COMPONENTS * MORE ** (turn - 1)))) == 0
+    some = F.pmod(F.xxhash64(F.lit(turn), "comp"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * COMPONENTS * MORE ** (turn - 1) / F.col("comps")
     others = stage(parts.join(buckets, "band").filter(F.col("comp") != F.col("main"))
-                   .filter(some | (F.col("comp") == F.col("lowest")) | (F.col("main") == F.col("lowest")))
+                   .filter(some | (F.col("comp") == F.col("drawn")))
                    .select("band", "comp", "size", "first"), "led")
-    drawn = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.ceil(F.col("size") / MORE ** (turn - 1))) == 0
+    drawn = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * MORE ** (turn - 1) / F.col("size")
     names = stage(left.join(others, ["band", "comp"]).filter(drawn | (F.col("rep") == F.col("first")))
-                  .select("rep").distinct(), "leaders")
+                  .select("band", "place", "rep"), "leaders")
     return left, names
 
 
-def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(a, b) of a leader and a member of another component that share a bucket and that the posterior does not drop.
+def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, block, bs) of a leader and those members of a block that share a bucket with it, are in another component and that
+    the posterior does not drop.
 
-    Buckets are cut into parts of about ``PART`` members, and each part is compared with its leaders' signatures in one
-    task, which sends on only what is left. A pair that shares several buckets is looked at in the first of its bands: where
+    Buckets are cut into parts of about ``PART`` members, and so are their leaders; each part meets each part of leaders
+    in one task, which sends on only what is left. A pair that shares several buckets is looked at in the first of its bands: where
     it is not there any more, it was judged in an earlier turn or is in one component.
     """
-    bounds = posterior_bounds(threshold, miss, LANES, WIDE_BATCH)
+    bounds = posterior_bounds(threshold, miss, LANES, BATCH)
 
     def compare(members: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        found = [np.empty((0, 2), np.int64)]
+        found = []
         if len(members) and len(heads):
             rows = np.frombuffer(b"".join(members["sig"]), np.uint16).reshape(-1, LANES)
-            reps, comps, place = members["rep"].to_numpy(), members["comp"].to_numpy(), members["place"].iat[0]
-            for lead, comp, sig in zip(heads["l_rep"], heads["l_comp"], heads["l_sig"]):
-                other = np.flatnonzero(comps != comp)
+            reps, comps, sizes, blocks = (members[c].to_numpy() for c in ("rep", "comp", "n", "block"))
+            place, least = members["place"].iat[0], round(100 * threshold)
+            for lead, comp, size, sig, bands in zip(*(heads[f"l_{c}"] for c in ("rep", "comp", "n", "sig", "bands"))):
+                leads = (bands >> np.arange(BANDS)) & 1 > 0
+                fits = 100 * np.minimum(sizes, size) >= least * np.maximum(sizes, size)
+                other = np.flatnonzero((comps != comp) & fits)
                 same = rows[other] == np.frombuffer(sig, np.uint16)
-                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == place
+                first = (same.reshape(len(other), BANDS, ROWS).all(axis=2) & leads).argmax(axis=1) == place
                 open_, same = other[first], same[first]
                 matches = np.zeros(len(open_), int)
-                for k in range(LANES // WIDE_BATCH):
-                    matches += same[:, k * WIDE_BATCH:(k + 1) * WIDE_BATCH].sum(axis=1)
+                for k in range(LANES // BATCH):
+                    matches += same[:, k * BATCH:(k + 1) * BATCH].sum(axis=1)
                     left_ = bounds[k, matches] >= threshold
                     open_, same, matches = open_[left_], same[left_], matches[left_]
-                both = np.column_stack([np.full(len(open_), lead), reps[open_]])
-                found.append(np.sort(both, axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+                found += [(lead, block, reps[open_[blocks[open_] == block]].tobytes()) for block in np.unique(blocks[open_])]
+        return pd.DataFrame(found, columns=["a", "block", "bs"]).astype({"a": "int64", "block": "int64"})
+
+    bands = names.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bands"))
+    led = stage(names.select("band", "rep").join(bands, "rep"), "led")
+    marked = stage(left.join(led, ["band", "rep"], "left"), "marked")
+    parts = stage(marked.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"),
+                                             F.ceil(F.count("bands") / PART).cast("int").alias("lead_parts")), "bucket-parts")
+    sized = marked.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep").join(blocks, "rep")
 
-    parts = stage(left.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "bucket-parts")
-    full = sigs.select("rep", "sig")
-    sized = left.join(parts, "band").join(full, "rep")
-    members = sized.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    heads = sized.join(names, "rep").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    heads = heads.select(*[F.col(c).alias(f"l_{c}") for c in ("band", "part", "rep", "comp", "sig")])
-    both = members.select("band", "part", "place", "rep", "comp", "sig").groupBy("band", "part").cogroup(heads.groupBy("l_band", "l_part"))
-    return stage(both.applyInPandas(compare, "a long, b long").distinct(), "met")
+    def number(count: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
 
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs (a, b) whose full sets are near; the nearest texts count where ids have several."""
-    return stage(_confirm(pairs, texts).filter(F.expr(f"100 * inter >= {percent} * total"))
-                 .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near")
+    members = sized.filter("lead_parts > 0").withColumn("part", number("parts")).withColumn("lead_part", each("lead_parts"))
+    heads = sized.filter("bands IS NOT NULL").withColumn("lead_part", number("lead_parts")).withColumn("part", each("parts"))
+    keys = ["band", "part", "lead_part"]
+    heads = heads.select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "rep", "comp", "n", "sig", "bands")])
+    both = members.select(*keys, "place", "rep", "comp", "n", "sig", "block").groupBy(*keys).cogroup(heads.groupBy(*[f"l_{k}" for k in keys]))
+    return both.applyInPandas(compare, "a long, block long, bs binary")
 
 
 def near_components(docs: DataFrame, sigs: DataFrame, given: DataFrame, percent: int = 75, miss: float = MISS,
@@ -206,26 +247,38 @@ def near_components(docs: DataFrame, sigs: DataFrame, given: DataFrame, percent:
     """(id, root) of the components of the ``given`` links (u, v) and of all confirmed links between bucket members."""
     threshold = percent / 100
     members = _members(sigs)
-    texts = _candidate_texts(docs, id_col, text_col, members)
     comps = stage(components(given), "components")
-    # the first turn: one leader for each bucket, the same in most of a group's buckets
+    # the first turn: one leader for each member, the smallest member of all its buckets
     first = stage(members.groupBy("band").agg(F.min("rep").alias("a")), "leaders")
-    pairs = stage(members.join(first, "band").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links, turn = _confirmed(_screen(pairs, sigs, threshold, miss).filter("keep"), texts, percent), 0
-    settled = first.select("band", F.col("a").alias("rep"))
+    led = stage(members.select("band", "rep").join(first, "band"), "led")
+    own = stage(led.groupBy("rep").agg(F.min("a").alias("own")), "own-leaders")
+    pairs = stage(own.filter("rep <> own").select(F.col("own").alias("a"), F.col("rep").alias("b")), "pairs")
+    # a leader has left a bucket if all members there met it; else the bucket keeps it for later turns
+    met_all = led.join(own, "rep").groupBy("band").agg(F.max("a").alias("rep"), F.bool_and((F.col("own") == F.col("a")) | (F.col("rep") == F.col("a"))).alias("all"))
+    first = stage(met_all.filter("all").select("band", "rep"), "settled")
+    blocks = _blocks(own, sigs)
+    sets = _candidate_sets(docs, id_col, text_col, blocks)
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda found: np.asarray(found, np.int64).tobytes())
+
+    kept = _screen(pairs, sigs, threshold, miss).filter("keep").join(blocks.withColumnRenamed("rep", "b"), "b")
+    asks = kept.groupBy("a", "block").agg(F.collect_list("b").alias("found")).select("a", "block", packed("found").alias("bs"))
+    links, turn = _confirmed(asks, sets, percent), 0
+    settled = first
     while True:
         if not links.isEmpty():
             comps = stage(components(links.unionByName(comps.select(F.col("id").alias("u"), F.col("root").alias("v")))), "components")
-        rest = members.select("band", "place", "rep").join(settled, settled.columns, "left_anti")
+        rest = members.select("band", "place", "rep").join(settled, ["band", "rep"], "left_anti")
         placed = stage(rest.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
             "band", "place", "rep", F.coalesce("root", "rep").alias("comp")), "placed")
         turn += 1
         members, settled = _leaders(placed, turn)
         if settled.isEmpty():
             break
-        met = _by_leaders(members, settled, sigs, threshold, miss)
-        links = _confirmed(met, texts, percent)
-    release(texts)
+        links = _confirmed(_by_leaders(members, settled, sigs, blocks, threshold, miss), sets, percent)
+    release(sets)
     return comps
 
 
@@ -241,7 +294,7 @@ def near_groups(docs: DataFrame, percent: int = 75, miss: float = MISS, id_col:
     """
     sets = _sets(docs, id_col, text_col)
     own = sets.filter("n > 0 AND id IS NOT NULL")
-    sigs = stage(own.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "signatures")
+    sigs = stage(own.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     reps = stage(own.select("id", "f1", "f2").join(sigs.select("f1", "f2", "rep"), ["f1", "f2"]), "representatives")
     # an id with several texts connects their sets
     several = reps.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("most"), F.collect_set("rep").alias("all")) \
