@@ -39,6 +39,36 @@ def test_harmonize(spark):
     assert column(strict, "w")[2] == "SODA"
 
 
+SYNONYMS = {"soda": ["soft drink", "s.d.", "pop", "soft"], "Tea": ["black tea", "green tea", ".tea"], "ΟΔΌΣ": ["straße", "οδος"],
+            "k": ["drink pop now"]}
+PIECES = ["soft", "drink", "SOFT DRINK", "s.d.", "pop", "pops", "Tea", ".tea", "black", "Straße", "ΟΔΟΣ", "now", "_", " ", "  ", "-", ".", "é", "\n"]
+
+
+@pytest.mark.parametrize("case_sensitive", [False, True])
+def test_harmonize_automaton_equals_expression(spark, case_sensitive):
+    """Texts put together from words, parts of words and marks; the map as one expression, one automaton and seven."""
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(PIECES) for _ in range(pick.randint(0, 12))) for _ in range(400)] + [None, "", "pop"]
+    df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "i int, w string, _hits array<int>")
+    want = column(catnorm.harmonize_values(df, "w", SYNONYMS, case_sensitive), "w")
+    for size in (1 << 20, 16):
+        out = catnorm.harmonize_values(df, "w", SYNONYMS, case_sensitive, expression_words=0, automaton_bytes=size)
+        assert out.columns == df.columns
+        assert column(out, "w") == want
+
+
+def test_harmonize_large_map(spark):
+    names = {f"name{i % 1000}": [] for i in range(1000)}
+    for i in range(200_000):
+        names[f"name{i % 1000}"].append(f"word{i} of {i % 7}")
+    df = words(spark, [" ".join(f"Word{i} of {i % 7}," for i in range(k, k + 3000)) for k in range(0, 60000, 3000)]
+               + ["word199999 of 4", "word199999 of 45", "word5 word6 of 6"])
+    out = column(catnorm.harmonize_values(df, "w", names), "w")
+    assert out[:20] == [" ".join(f"name{i % 1000}," for i in range(k, k + 3000)) for k in range(0, 60000, 3000)]
+    assert out[20:] == ["name999" if 199999 % 7 == 4 else "word199999 of 4", "word199999 of 45", "word5 name6"]
+    assert catnorm.harmonize_values(df.limit(0), "w", names).count() == 0
+
+
 def lcs_ratio(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemill.functions.columns import ColumnError, col, q, require_categorical
+from tidemill.functions.columns import ColumnError, col, free_name, q, require_categorical
 from tidemill.functions.durable import stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.valuecounts import column_counts, count_name
@@ -72,14 +73,31 @@ def normalize_text(df: DataFrame, column: str, steps: tuple[str, ...] = STEPS) -
     return out.select(*[text.alias(c) if c == column else col(c) for c in df.columns])
 
 
-def harmonized(text: Column, synonyms: dict[str, list[str]], case_sensitive: bool = False) -> Column:
-    """Replace whole-word synonyms by their canonical value: longest first, in a single pass."""
-    fold = (lambda s: s) if case_sensitive else str.lower
+# Characters that make a longer word of the one they touch
+WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+EXPRESSION_WORDS = 200  # words up to which a map is one regular expression in the JVM
+AUTOMATON_BYTES = 32 * 1024 * 1024  # text of a map that a task holds as one automaton
+
+
+def _synonym_table(synonyms: dict[str, list[str]], fold: Callable[[str], str]) -> dict[str, str]:
     table: dict[str, str] = {}
     for canonical, words in synonyms.items():
         for word in [*words, canonical]:
             if word and word.strip():
                 table[fold(word.strip())] = canonical
+    return table
+
+
+def _fold_case(text: str) -> str:
+    """Lower case that keeps the number of characters, so that places in it are places in the text."""
+    if text.isascii():
+        return text.lower()
+    return "".join(low if len(low := ch.lower()) == 1 else ch for ch in text).replace("ς", "σ")
+
+
+def harmonized(text: Column, synonyms: dict[str, list[str]], case_sensitive: bool = False) -> Column:
+    """Replace whole-word synonyms by their canonical value: longest first, in a single pass."""
+    table = _synonym_table(synonyms, str if case_sensitive else str.lower)
     if not table:
         return text
     words = "|".join(re.escape(w) for w in sorted(table, key=lambda w: (-len(w), w)))
@@ -93,11 +111,95 @@ def harmonized(text: Column, synonyms: dict[str, list[str]], case_sensitive: boo
                                    lambda a, b: F.concat(a, b)), "")
 
 
-def harmonize_values(df: DataFrame, column: str, synonyms: dict[str, list[str]],
-                     case_sensitive: bool = False) -> DataFrame:
+def _table_parts(table: dict[str, str], limit: int) -> list[dict[str, str]]:
+    parts, size = [{}], 0
+    for word, canonical in table.items():
+        width = len(word.encode()) + len(canonical.encode())
+        if parts[-1] and size + width > limit:
+            parts.append({})
+            size = 0
+        parts[-1][word] = canonical
+        size += width
+    return parts
+
+
+def _found_words(df: DataFrame, table: dict[str, str], fold: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function from a text column to its whole-word hits (start, stop, canonical), the longest at each start.
+
+    The map is broadcast as words; each task builds the automaton from it once and reads every text once.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<struct<start:int,stop:int,canonical:string>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, canonical in shared.value.items():
+            automaton.add_word(word, (len(word), canonical))
+        automaton.make_automaton()
+
+        def one(text):
+            if text is None:
+                return None
+            longest = {}
+            for last, (width, canonical) in automaton.iter(fold(text)):
+                start, stop = last + 1 - width, last + 1
+                if start and text[start - 1] in WORD_CHARACTERS or stop < len(text) and text[stop] in WORD_CHARACTERS:
+                    continue
+                longest[start] = stop, canonical  # ends come in rising order
+            return [{"start": s, "stop": e, "canonical": c} for s, (e, c) in sorted(longest.items())]
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return find
+
+
+def _swapped(values: Column, hits: Column) -> Column:
+    """Texts with their hits replaced from the left; a hit that overlaps one taken before it is passed over."""
+    @F.pandas_udf("string")
+    def swap(texts: pd.Series, found: pd.Series) -> pd.Series:
+        def one(text, hits):
+            if text is None:
+                return None
+            out, done = [], 0
+            for hit in sorted(hits, key=lambda h: (h["start"], -h["stop"])):
+                if hit["start"] >= done:
+                    out += [text[done:hit["start"]], hit["canonical"]]
+                    done = hit["stop"]
+            return "".join(out) + text[done:]
+
+        return pd.Series([one(t, h) for t, h in zip(texts, found)], dtype=object)
+
+    return swap(values, hits)
+
+
+def harmonize_values(df: DataFrame, column: str, synonyms: dict[str, list[str]], case_sensitive: bool = False,
+                     expression_words: int = EXPRESSION_WORDS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Replace whole-word synonyms by their canonical value: from the left, longest first, in a single pass.
+
+    A map of at most ``expression_words`` words becomes one expression. A larger one becomes an Aho-Corasick automaton, in time
+    linear in the text whatever the number of words. Of a map above ``automaton_bytes`` no task holds more than
+    one part of that size: the parts are looked for one after another, with the hits so far staged beside the rows.
+    Null stays null; the empty text and an empty map change nothing.
+    """
     require_categorical(df, column)
-    made = harmonized(col(column).cast("string"), synonyms, case_sensitive)
-    return df.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
+    text = col(column).cast("string")
+    fold = str if case_sensitive else _fold_case
+    table = _synonym_table(synonyms, fold)
+    if len(table) <= expression_words:
+        made = harmonized(text, synonyms, case_sensitive)
+        return df.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
+    hits, out = free_name(df, "_hits"), df
+    parts = _table_parts(table, automaton_bytes)
+    for k, part in enumerate(parts):
+        found = _found_words(df, part, fold)(text)
+        out = out.withColumn(hits, F.concat(col(hits), found) if k else found)
+        if k + 1 < len(parts):
+            out = stage(out, "hits")
+    made = _swapped(text, col(hits))
+    return out.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
 
 
 def change_report(before: DataFrame, after_column: Column, column: str, samples: int = 5) -> DataFrame:

@@ -73,6 +73,23 @@ HARMONIZED = f"""WITH {c.DIRTY_TYPES}, t AS (SELECT event_id,
     SELECT event_id, CASE WHEN lower(event_type) IN ('click', 'view') THEN 'interaction'
         WHEN lower(event_type) = 'signup' THEN 'account' WHEN lower(event_type) = 'purchase' THEN 'sale'
         ELSE event_type END AS event_type FROM t"""
+
+
+def harmonize_documents(spark, d):
+    """Every word of the benchmark texts is a synonym of its first two letters: a map of thousands of words."""
+    words = c.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("word")).distinct()
+    synonyms = {r["head"]: r["words"] for r in words.groupBy(F.concat(F.lit("<"), F.substring("word", 1, 2), F.lit(">")).alias("head"))
+                .agg(F.collect_list("word").alias("words")).collect()}
+    return catnorm.harmonize_values(c.table(spark, d, "documents").select("doc_id", "text"), "text", synonyms)
+
+
+HARMONIZED_TEXTS = """WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS word FROM benchmark),
+    t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS parts FROM documents),
+    u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM t),
+    m AS (SELECT doc_id, string_agg(CASE WHEN word IS NULL THEN part ELSE '<' || substr(word, 1, 2) || '>' END, '' ORDER BY k) AS made
+        FROM u LEFT JOIN b ON lower(part) = word GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(made, '') END AS text FROM documents d LEFT JOIN m USING (doc_id)"""
 CLEAN = "lower(trim(regexp_replace(strip_accents(event_type), '\\s+', ' ', 'g')))"
 
 
@@ -202,6 +219,7 @@ QUERIES = {
             FROM dirty_types) SELECT count(*) AS rows_affected, count(*) FILTER (WHERE a <> b) AS values_changed,
         count(DISTINCT b) AS unique_before, count(DISTINCT a) AS unique_after FROM n"""),
     "harmonize_values": (harmonize_values, HARMONIZED),
+    "harmonize_documents": (harmonize_documents, HARMONIZED_TEXTS),
     "cluster_ratio": (lambda spark, d: cluster.cluster_values(
         c.misspelt_segments(spark, d), "c_mktsegment", method="ratio"), SEGMENTS),
     "cluster_partial_ratio": (lambda spark, d: cluster.cluster_values(
