@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -92,6 +94,10 @@ HARMONIZED_TEXTS = """WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower
     SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(made, '') END AS text FROM documents d LEFT JOIN m USING (doc_id)"""
 CLEAN = "lower(trim(regexp_replace(strip_accents(event_type), '\\s+', ' ', 'g')))"
 
+# the letters that have no accent to strip, one after another; their replacements hold none of them
+PLAIN_TEXT = reduce(lambda text, pair: "replace({}, '{}', '{}')".format(text, *(p.replace("'", "''") for p in pair)),
+                    catnorm.PLAIN_LETTERS.items(), "text")
+
 
 def normalize_report(spark, d):
     df = c.dirty_types(spark, d)
@@ -212,6 +218,9 @@ QUERIES = {
     "normalize_text": (lambda spark, d: catnorm.normalize_text(c.dirty_types(spark, d), "event_type"),
         f"WITH {c.DIRTY_TYPES} SELECT event_id, {CLEAN} AS event_type FROM dirty_types"),
     "normalize_documents": (lambda spark, d: catnorm.normalize_text(
+        c.table(spark, d, "documents").select("doc_id", "text"), "text"),
+        f"SELECT doc_id, {CLEAN.replace('event_type', PLAIN_TEXT)} AS text FROM documents"),
+    "normalize_turns": (lambda spark, d: catnorm.normalize_text(
         c.table(spark, d, "conversations").select("conv_id", "turn", "text"), "text",
         ("fix_unicode", "strip_whitespace", "lowercase")),
         "SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM conversations"),

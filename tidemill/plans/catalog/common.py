@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dates_as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Dates written alike by Spark and by the SQL of the check."""
+    return df.withColumns({name: F.date_format(name, "yyyy-MM-dd HH:mm:ss") for name in names})
+
+
+def date_text(name: str) -> str:
+    return f"strftime({name}, '%Y-%m-%d %H:%M:%S')"
+
+
 def gappy_events(spark, folder) -> DataFrame:
     """The value of error events is missing."""
     return table(spark, folder, "events").select(

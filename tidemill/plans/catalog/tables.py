@@ -28,7 +28,7 @@ def scan_json(spark, d):
 
 
 def scan_parquet(spark, d):
-    return io.read_table(spark, f"{d}/lineitem.parquet").drop("l_shipdate")
+    return c.dates_as_text(io.read_table(spark, f"{d}/lineitem.parquet"), "l_shipdate")
 
 
 def sink_csv(spark, d):
@@ -113,26 +113,28 @@ def math(op):
         c.table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], [op])
 
 
-FEATURES = {"gross": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
+FEATURES = {"ship_month": "year(l_shipdate) * 100 + month(l_shipdate)",
+            "gross": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
             "bulk": "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END",
             "flags": "concat(l_returnflag, l_linestatus)"}
 
 
 def create_feature(spark, d):
-    df = c.table(spark, d, "lineitem").drop("l_shipdate")
+    df = c.table(spark, d, "lineitem")
     for name, expression in FEATURES.items():
         df = project.create_feature(df, name, expression)
-    return df.withColumn("gross", F.round("gross", 6))
+    return c.dates_as_text(df, "l_shipdate").withColumn("gross", F.round("gross", 6))
 
 
 def duplicated(spark, d):
     return c.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
 
 
+IDENTITIES = ["o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice"]
 QUERIES = {
     "scan_csv": (scan_csv, "SELECT * FROM customer"),
     "scan_json": (scan_json, "SELECT * FROM customer"),
-    "scan_parquet": (scan_parquet, "SELECT * EXCLUDE (l_shipdate) FROM lineitem"),
+    "scan_parquet": (scan_parquet, f"SELECT * REPLACE ({c.date_text('l_shipdate')} AS l_shipdate) FROM lineitem"),
     "list_sources": (lambda spark, d: io.list_sources(spark, d), None),
     "table_metadata": (lambda spark, d: io.table_metadata(c.gappy_events(spark, d)), metadata_sql()),
     "sink_csv": (sink_csv, "SELECT * FROM part"),
@@ -152,19 +154,15 @@ QUERIES = {
     "drop_columns": (lambda spark, d: project.drop_columns(
         c.table(spark, d, "lineitem"), ["l_shipdate", "l_tax"]),
         "SELECT * EXCLUDE (l_shipdate, l_tax) FROM lineitem"),
-    "drop_columns_impact": (lambda spark, d: project.drop_columns_impact(
-        c.table(spark, d, "orders").drop("o_orderdate", "o_totalprice"), ["o_orderkey", "o_orderpriority"]), """
+    "drop_columns_impact": (lambda spark, d: project.drop_columns_impact(c.table(spark, d, "orders"), IDENTITIES), f"""
         WITH kept AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus),
-        whole AS (SELECT count(*) AS n FROM orders GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority),
+        whole AS (SELECT count(*) AS n FROM orders GROUP BY {', '.join(IDENTITIES)}, o_custkey, o_orderstatus),
         made AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM whole WHERE n > 1) AS BIGINT) AS duplicates_before,
             CAST((SELECT coalesce(sum(n), 0) FROM kept WHERE n > 1) AS BIGINT) AS duplicates_after)
-        SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS unique_count, count(*) AS total_rows,
-            count(DISTINCT o_orderkey) > 0.95 * count(*) AS is_identity,
+        """ + c.union_all(f"""SELECT '{name}' AS "column", count(DISTINCT {name}) AS unique_count, count(*) AS total_rows,
+            count(DISTINCT {name}) > 0.95 * count(*) AS is_identity,
             any_value(duplicates_before) AS duplicates_before, any_value(duplicates_after) AS duplicates_after
-        FROM orders, made
-        UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(*),
-            count(DISTINCT o_orderpriority) > 0.95 * count(*), any_value(duplicates_before),
-            any_value(duplicates_after) FROM orders, made"""),
+        FROM orders, made""" for name in IDENTITIES)),
     "cast_int64": (cast("whole_text", "int64"), cast_sql("whole_text", "TRY_CAST(whole_text AS BIGINT)")),
     "cast_int32": (cast("whole_text", "int32"), cast_sql("whole_text", "TRY_CAST(whole_text AS INTEGER)")),
     "cast_int16": (cast("small_number", "int16"), cast_sql("small_number", "CAST(small_number AS SMALLINT)")),
@@ -198,7 +196,8 @@ QUERIES = {
         UNION ALL SELECT 'flag_text', 'string', 'boolean', flag_null, false FROM made
         UNION ALL SELECT 'value', 'double', 'double', 0, fractional FROM made
         UNION ALL SELECT 'day_text', 'string', 'timestamp', day_null, false FROM made"""),
-    "create_feature": (create_feature, """SELECT * EXCLUDE (l_shipdate),
+    "create_feature": (create_feature, f"""SELECT * REPLACE ({c.date_text('l_shipdate')} AS l_shipdate),
+        CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS ship_month,
         round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross,
         CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS INTEGER) AS bulk,
         l_returnflag || l_linestatus AS flags FROM lineitem"""),
@@ -242,10 +241,10 @@ QUERIES = {
         "FROM documents) WHERE r = 1"),
     "dedupe_none": (lambda spark, d: dedupe.drop_duplicate_rows(duplicated(spark, d), None, "none"),
         "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders GROUP BY ALL HAVING count(*) = 1"),
-    "dedupe_subset": (lambda spark, d: dedupe.drop_duplicate_rows(
-        c.table(spark, d, "orders").drop("o_orderdate"), ["o_custkey", "o_orderstatus"], "first", ["o_orderkey"]),
-        "SELECT * EXCLUDE (r) FROM (SELECT * EXCLUDE (o_orderdate), row_number() OVER (PARTITION BY o_custkey, "
-        "o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1"),
+    "dedupe_subset": (lambda spark, d: c.dates_as_text(dedupe.drop_duplicate_rows(
+        c.table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "first", ["o_orderkey"]), "o_orderdate"),
+        f"SELECT * EXCLUDE (r) REPLACE ({c.date_text('o_orderdate')} AS o_orderdate) FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1"),
     "dedupe_all_columns": (lambda spark, d: dedupe.drop_duplicate_rows(
         duplicated(spark, d), order_by=["o_custkey"]),
         "SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders"),
