@@ -6,7 +6,7 @@ from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import association, profile, quality
+from tidemill.operators import association, profile, quality, sketches
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.plans.catalog import common as c
 
@@ -244,6 +244,19 @@ def groups_sql(a, g):
 
 GROUP_PAIRS = c.union_all(groups_sql(a, g) for a, g in product(("o_orderkey", "o_totalprice"), c.BANDED_CATEGORIES))
 
+def cardinality_sketched(spark, d):
+    """Sketches of the events of each type, merged: are the counts inside the stated bound of the exact ones, and are the grades right?"""
+    df = c.shaped_events(spark, d)
+    parts = [df.filter(F.col("event_type").eqNullSafe(r[0])) for r in df.select("event_type").distinct().collect()]
+    near = sketches.sketched_summary(sketches.merge_sketches(*[sketches.column_sketches(p) for p in parts]))
+    exact = quality.distinct_summary(df).select("column", F.col("unique_count").alias("exact"))
+    bound = F.lit(sketches.error_bound()) * F.col("exact")
+    return near.join(exact, "column").select("column", "total_rows", "non_null_count", "exact",
+                                             (F.abs(F.col("unique_count") - F.col("exact")) <= bound).alias("inside"))
+
+
+SKETCHED = on_distinct('SELECT "column", total_rows, non_null_count, unique_count AS exact, true AS inside FROM f')
+
 QUERIES = {
     "quality_zero_signs": (zero_of_two_signs, """SELECT 'nought' AS "column", CAST(1 AS BIGINT) AS unique_count,
         '0.0' AS constant_value, count(*) AS non_null_count, count(*) AS total_rows FROM lineitem"""),
@@ -255,6 +268,7 @@ QUERIES = {
     "quality_outliers": (lambda spark, d: quality.quality_outliers(
         c.shaped_events(spark, d)).select(*OUTLIER_FIELDS), outliers_sql()),
     "quality_cardinality": (lambda spark, d: quality.quality_cardinality(c.shaped_events(spark, d)), CARDINALITY),
+    "quality_cardinality_sketched": (cardinality_sketched, SKETCHED),
     "quality_duplicates": (lambda spark, d: quality.quality_duplicates(
         c.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")), DUPLICATES),
     "quality_zero_variance": (lambda spark, d: quality.quality_zero_variance(c.shaped_events(spark, d)), ZERO),
