@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import ColumnError
 from tidemill.functions.durable import fresh_path
+from tidemill.functions.user import create_rows, register_scalar, register_table
 from tidemill.operators import dedupe, project
 from tidemill.operators.runlog import RunLog, run_report
 from tidemill.plans.catalog import common as c
@@ -126,6 +127,23 @@ def create_feature(spark, d):
     return c.dates_as_text(df, "l_shipdate").withColumn("gross", F.round("gross", 6))
 
 
+def create_feature_functions(spark, d):
+    """A value and rows from functions of the user's own, over whole documents."""
+    def count_vowels(texts):
+        import pyarrow.compute as pc
+        return pc.cast(pc.count_substring_regex(texts, "[aeiou]"), "int64")
+
+    class Sentences:
+        def eval(self, text):
+            for place, sentence in enumerate(text.split(".") if text is not None else ()):
+                yield place, len(sentence)
+
+    register_scalar(spark, "count_vowels", count_vowels, "bigint", replace=True)
+    register_table(spark, "sentences", Sentences, "place int, sentence_length int", replace=True)
+    df = project.create_feature(c.table(spark, d, "documents").select("doc_id", "text"), "vowels", "count_vowels(text)")
+    return create_rows(df, "sentences", ["text"]).drop("text")
+
+
 def duplicated(spark, d):
     return c.table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
 
@@ -201,6 +219,10 @@ QUERIES = {
         round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross,
         CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS INTEGER) AS bulk,
         l_returnflag || l_linestatus AS flags FROM lineitem"""),
+    "create_feature_functions": (create_feature_functions, """WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS sentence,
+            generate_subscripts(string_split(text, '.'), 1) - 1 AS place FROM documents)
+        SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS vowels, CAST(place AS INTEGER) AS place,
+            CAST(length(sentence) AS INTEGER) AS sentence_length FROM documents LEFT JOIN s USING (doc_id)"""),
     "dt_year": (date_part("year"), date_sql("year", "year(ts)")),
     "dt_month": (date_part("month"), date_sql("month", "month(ts)")),
     "dt_day": (date_part("day"), date_sql("day", "day(ts)")),
