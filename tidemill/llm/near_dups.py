@@ -186,7 +186,7 @@ def _leaders(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
                    .select("band", "comp", "size", "first"), "led")
     drawn = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * MORE ** (turn - 1) / F.col("size")
     names = stage(left.join(others, ["band", "comp"]).filter(drawn | (F.col("rep") == F.col("first")))
-                  .select("band", "place", "rep"), "leaders")
+                  .select("band", "place", "rep", "comp"), "leaders")
     return left, names
 
 
@@ -222,11 +222,9 @@ def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: Data
         return pd.DataFrame(found, columns=["a", "block", "bs"]).astype({"a": "int64", "block": "int64"})
 
     bands = names.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bands"))
-    led = stage(names.select("band", "rep").join(bands, "rep"), "led")
-    marked = stage(left.join(led, ["band", "rep"], "left"), "marked")
-    parts = stage(marked.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"),
-                                             F.ceil(F.count("bands") / PART).cast("int").alias("lead_parts")), "bucket-parts")
-    sized = marked.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep").join(blocks, "rep")
+    led = stage(names.select("band", "rep", "comp").join(bands, "rep"), "led")
+    lead_parts = led.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("lead_parts"))
+    parts = stage(left.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(lead_parts, "band"), "bucket-parts")
 
     def number(count: str) -> Column:
         return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
@@ -234,8 +232,10 @@ def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: Data
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    members = sized.filter("lead_parts > 0").withColumn("part", number("parts")).withColumn("lead_part", each("lead_parts"))
-    heads = sized.filter("bands IS NOT NULL").withColumn("lead_part", number("lead_parts")).withColumn("part", each("parts"))
+    members = left.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep").join(blocks, "rep") \
+        .withColumn("part", number("parts")).withColumn("lead_part", each("lead_parts"))
+    heads = led.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep") \
+        .withColumn("lead_part", number("lead_parts")).withColumn("part", each("parts"))
     keys = ["band", "part", "lead_part"]
     heads = heads.select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "rep", "comp", "n", "sig", "bands")])
     both = members.select(*keys, "place", "rep", "comp", "n", "sig", "block").groupBy(*keys).cogroup(heads.groupBy(*[f"l_{k}" for k in keys]))
