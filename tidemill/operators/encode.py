@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from math import ceil, log2
-from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -28,26 +27,26 @@ METHODS = ("one_hot", "label", "ordinal", "frequency", "target", "binary", "hash
 
 @dataclass
 class Encoder:
-    """``mapping`` holds one row per category; ``make`` turns its payload into the new columns."""
+    """``mapping`` holds one row per category; ``method`` and ``facts`` say how its payload becomes the new columns.
+
+    All fields are plain values or tables, so that an encoder can be stored.
+    """
 
     column: str
     method: str
     new_columns: list[str]
-    make: Callable[[DataFrame], dict[str, Column]]
     mapping: DataFrame | None = None
     drop_original: bool = True
     unknown: str = "ignore"
     facts: dict = field(default_factory=dict)
-    helpers: dict[str, Column] = field(default_factory=dict)  # worked out once per row for all new columns
-    make_fitted: Callable[[DataFrame], dict[str, Column]] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Encode a table that the encoder was not fitted on."""
-        return self._encoded(df, self.make)
+        return self._encoded(df, fitted=False)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         """Encode the table the encoder was fitted on: leave-one-out leaves each row's own target out."""
-        return self._encoded(df, self.make_fitted or self.make)
+        return self._encoded(df, fitted=True)
 
     def known(self) -> Column:
         """Whether the row's category was there when the encoder was fitted."""
@@ -57,7 +56,34 @@ class Encoder:
             return col(self.column).cast("string").isin([str(v) for v in self.facts["categories"]])
         return F.lit(True)  # hashing has a place for every text
 
-    def _encoded(self, df: DataFrame, make: Callable[[DataFrame], dict[str, Column]]) -> DataFrame:
+    def _helpers(self) -> dict[str, Column]:
+        """Worked out once per row for all new columns."""
+        return {"_bucket": _md5_bucket(col(self.column), len(self.new_columns))} if self.method == "hashing" else {}
+
+    def _columns(self, df: DataFrame, fitted: bool) -> list[Column]:
+        """The new columns, over the payload of ``mapping`` and the helpers."""
+        value, new, facts = col(self.column), self.new_columns, self.facts
+        if self.method == "one_hot":
+            return [F.when(value == F.lit(v), 1.0).otherwise(0.0) for v in facts["categories"]]
+        if self.method == "ordinal":
+            pairs = [F.lit(x) for pair in facts["mapping"].items() for x in pair]
+            return [F.try_element_at(F.create_map(*pairs), value.cast("string"))]
+        if self.method == "binary":
+            return [F.shiftright(F.col("_code"), len(new) - 1 - i).bitwiseAND(F.lit(1)).cast("int") for i in range(len(new))]
+        if self.method == "hashing":
+            return [(F.col("_bucket") == i).cast("int") for i in range(len(new))]
+        if self.method == "target":
+            return [F.coalesce(F.col("_value"), F.lit(facts["prior"]))]
+        if self.method == "leave_one_out":
+            if not fitted:
+                return [F.coalesce(ratio(F.col("_sum"), F.col("_seen")), F.lit(facts["prior"]))]
+            require(df, facts["target"])
+            own = _number(df, facts["target"])
+            left_out = F.coalesce(ratio(F.col("_sum") - own, F.col("_seen") - 1), F.lit(facts["prior"]))
+            return [left_out * (1 + F.randn(facts["seed"]) * facts["sigma"]) if facts["sigma"] else left_out]
+        return [F.col("_share" if self.method == "frequency" else "_code")]
+
+    def _encoded(self, df: DataFrame, fitted: bool) -> DataFrame:
         require(df, self.column)
         clash = [c for c in self.new_columns if c in df.columns]
         if clash:
@@ -66,9 +92,9 @@ class Encoder:
         joined = prepared
         if self.mapping is not None:
             joined = lookup_join(prepared, self.mapping.withColumn("_known", F.lit(True)), self.column, "_n")
-        joined = joined.withColumns(self.helpers) if self.helpers else joined
+        joined = joined.withColumns(self._helpers())
         given = col(self.column).isNotNull()
-        made = {n: F.when(given, c) for n, c in make(df).items()}
+        made = {n: F.when(given, c) for n, c in zip(self.new_columns, self._columns(df, fitted))}
         if self.unknown == "error":
             refused = F.raise_error(F.lit("unknown category"))  # without a type of its own: the column keeps its type
             made = {n: F.when(given & ~self.known(), refused).otherwise(c) for n, c in made.items()}
@@ -111,7 +137,6 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
     name = prefix or column
     source = df.withColumn(column, _filled(df, column, unknown))
     common = dict(column=column, method=method, drop_original=drop_original, unknown=unknown)
-    plain = lambda out, payload: lambda _: {out: F.col(payload)}
 
     if method == "one_hot":
         found = source.filter(col(column).isNotNull()).select(col(column).alias("v")).distinct() \
@@ -119,30 +144,22 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
         if len(found) > ONE_HOT_LIMIT:
             raise ColumnError(f"more than {ONE_HOT_LIMIT} categories: one-hot is refused")
         values = sorted(r["v"] for r in found)
-        new = {f"{name}_{v}": v for v in values}
-        return Encoder(new_columns=list(new), make=lambda _: {
-            n: F.when(col(column) == F.lit(v), 1.0).otherwise(0.0) for n, v in new.items()},
-            facts={"categories": values, "sparse_recommended": len(values) > ONE_HOT_WARN}, **common)
+        return Encoder(new_columns=[f"{name}_{v}" for v in values], facts={"categories": values, "sparse_recommended": len(values) > ONE_HOT_WARN}, **common)
 
     if method == "label":
-        return Encoder(new_columns=[f"{name}_encoded"], make=plain(f"{name}_encoded", "_code"),
-                       mapping=_category_order(source, column), **common)
+        return Encoder(new_columns=[f"{name}_encoded"], mapping=_category_order(source, column), **common)
 
     if method == "ordinal":
         if not ordinal_mapping:
             raise ColumnError("ordinal needs ordinal_mapping")
-        pairs = [x for k, v in ordinal_mapping.items() for x in (F.lit(k), F.lit(v))]
-        return Encoder(new_columns=[f"{name}_ordinal"], make=lambda _: {
-            f"{name}_ordinal": F.try_element_at(F.create_map(*pairs), col(column).cast("string"))},
-            facts={"mapping": ordinal_mapping, "categories": list(ordinal_mapping)}, **common)
+        return Encoder(new_columns=[f"{name}_ordinal"], facts={"mapping": ordinal_mapping, "categories": list(ordinal_mapping)}, **common)
 
     if method == "frequency":
         counts = stage(column_counts(source, column), "counts")
         total = counts.agg(F.sum(count_name(column))).first()[0] or 0
         n = F.col(count_name(column))
         mapping = counts.select(q(column), n.alias("_n"), ratio(n, F.lit(total)).alias("_share"))
-        return Encoder(new_columns=[f"{name}_freq"], make=plain(f"{name}_freq", "_share"),
-                       mapping=mapping, **common)
+        return Encoder(new_columns=[f"{name}_freq"], mapping=mapping, **common)
 
     if method == "binary":
         if not order_by:
@@ -153,15 +170,11 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
         mapping = stage(global_index(first, ["_first"], "_code", start=1)
                         .select(q(column), "_n", "_code"), "codes")
         digits = max(1, ceil(log2(mapping.count() + 1)))
-        return Encoder(new_columns=[f"{name}_bin_{i}" for i in range(digits)], make=lambda _: {
-            f"{name}_bin_{i}": F.shiftright(F.col("_code"), digits - 1 - i).bitwiseAND(F.lit(1))
-            .cast("int") for i in range(digits)}, mapping=mapping, **common)
+        return Encoder(new_columns=[f"{name}_bin_{i}" for i in range(digits)], mapping=mapping, **common)
 
     if method == "hashing":
         buckets = n_components or HASH_BUCKETS
-        return Encoder(new_columns=[f"{name}_hash_{i}" for i in range(buckets)], make=lambda _: {
-            f"{name}_hash_{i}": (F.col("_bucket") == i).cast("int") for i in range(buckets)},
-            helpers={"_bucket": _md5_bucket(col(column), buckets)}, facts={
+        return Encoder(new_columns=[f"{name}_hash_{i}" for i in range(buckets)], facts={
                 "n_buckets": buckets, "collision_risk": _collision_risk(df, column, buckets)}, **common)
 
     # target and leave_one_out
@@ -179,25 +192,11 @@ def fit_encoder(df: DataFrame, column: str, method: str, unknown: str = "ignore"
         mapping = stage(stats.select(q(column), "_n", (
             F.lit(prior) * (1 - weight) + ratio(F.col("_sum"), F.col("_seen")) * weight)
             .alias("_value")), "target")
-        return Encoder(new_columns=[f"{name}_target"], mapping=mapping, make=lambda _: {
-            f"{name}_target": F.coalesce(F.col("_value"), F.lit(prior))},
-            facts={"prior": prior, "smoothing": smoothing}, **common)
-
-    mapping = stage(stats, "loo")
-
-    def whole_mean(frame: DataFrame) -> dict[str, Column]:
-        return {f"{name}_loo": F.coalesce(ratio(F.col("_sum"), F.col("_seen")), F.lit(prior))}
-
-    def left_out(frame: DataFrame) -> dict[str, Column]:
-        require(frame, target)
-        own = _number(frame, target)
-        value = F.coalesce(ratio(F.col("_sum") - own, F.col("_seen") - 1), F.lit(prior))
-        if sigma:
-            value = value * (1 + F.randn(seed) * sigma)
-        return {f"{name}_loo": value}
+        return Encoder(new_columns=[f"{name}_target"], mapping=mapping,
+                       facts={"prior": prior, "smoothing": smoothing}, **common)
 
-    return Encoder(new_columns=[f"{name}_loo"], make=whole_mean, make_fitted=left_out, mapping=mapping,
-                   facts={"prior": prior}, **common)
+    return Encoder(new_columns=[f"{name}_loo"], mapping=stage(stats, "loo"),
+                   facts={"prior": prior, "target": target, "sigma": sigma, "seed": seed}, **common)
 
 
 def _number(df: DataFrame, name: str) -> Column:

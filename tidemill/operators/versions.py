@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemill.functions.columns import ColumnError, col, numeric_columns
+from tidemill.operators.fitted import FittedStore  # noqa: F401  kept here for earlier callers
 from tidemill.operators.profile import stack_columns
 from tidemill.operators.split import Split
 
@@ -178,37 +179,3 @@ def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows gained and lost, as a multiset."""
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(
         a.exceptAll(b).withColumn("change", F.lit("removed")))
-
-
-class FittedStore:
-    """Fitted column maps saved under auto-numbered names as small Parquet tables."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.names: dict[str, str] = {}
-
-    def save(self, base: str, fitted) -> str:
-        import json
-        from dataclasses import asdict
-
-        number = 1 + sum(n.rsplit("_v", 1)[0] == base for n in self.names)
-        name = f"{base}_v{number}"
-        body = json.dumps(asdict(fitted))
-        self.spark.createDataFrame([(name, type(fitted).__name__, body)],
-                                   "name string, type string, body string") \
-            .coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/{name}")
-        self.names[name] = type(fitted).__name__
-        return name
-
-    def get(self, name: str, kind: type):
-        import json
-
-        if name not in self.names:
-            raise ColumnError(f"{name!r} is not stored; stored: {sorted(self.names)}")
-        row = self.spark.read.parquet(f"{self.path}/{name}").first()
-        if row["type"] != kind.__name__:
-            raise ColumnError(f"{name!r} is a {row['type']}")
-        return kind(**json.loads(row["body"]))
-
-    def list(self) -> DataFrame:
-        return self.spark.createDataFrame(sorted(self.names.items()), "name string, type string")

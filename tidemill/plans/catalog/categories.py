@@ -8,8 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
+from tidemill.functions.durable import fresh_path
 from tidemill.operators import catnorm, cluster
 from tidemill.operators.encode import encode_report, fit_encoder, unmapped_categories
+from tidemill.operators.fitted import FittedStore
 from tidemill.operators.split import ordered_split
 from tidemill.plans.catalog import common as c
 
@@ -26,6 +28,14 @@ def encode(method, digits=None, **kw):
     return run
 
 
+def fitted_store_encoder(spark, d):
+    """An encoder with a table of its own, saved by one store and applied by another one opened on the same folder."""
+    df, path = c.untyped_events(spark, d), fresh_path(spark, "fitted")
+    name = FittedStore(spark, path).save("events", fit_encoder(df, "event_type", "target", target="value"))
+    out = FittedStore(spark, path).get(name).transform(df)
+    return out.withColumn("event_type_target", F.round("event_type_target", 6))
+
+
 def from_untyped(select):
     return f"WITH {c.UNTYPED_EVENTS} {select}"
 
@@ -242,3 +252,5 @@ QUERIES = {
     "gap_encode": (lambda spark, d: cluster.topic_encode(
         c.misspelt_segments(spark, d), "c_mktsegment", 10), None),
 }
+
+QUERIES["fitted_store_encoder"] = (fitted_store_encoder, QUERIES["encode_target"][1])
