@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemill.functions.columns import ColumnError
-from tidemill.functions.durable import fresh_path
+from tidemill.functions.durable import claim, fresh_path
 from tidemill.operators import impute
 from tidemill.operators.encode import METHODS, Encoder, fit_encoder
 from tidemill.operators.fitted import FittedStore
@@ -92,3 +92,11 @@ def test_values_come_back_with_their_types(spark):
         assert store.get(name).stats == {"a": value} and type(store.get(name).stats["a"]) is type(value)
     weights = np.arange(6.0).reshape(2, 3)
     assert (store.get(store.save("w", OutlierBounds("c", "m", 1.0, {"a": weights}))).stats["a"] == weights).all()
+
+
+def test_a_number_that_another_writer_has_is_left_to_it(spark, table):
+    path = fresh_path(spark, "fitted")
+    assert claim(spark, f"{path}/claims/iqr_v1") and not claim(spark, f"{path}/claims/iqr_v1")
+    store = FittedStore(spark, path)
+    assert store.save("iqr", fit_outliers(table, "y", "iqr")) == "iqr_v2"
+    assert [r["name"] for r in store.list().collect()] == ["iqr_v2"]

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +36,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False where it is there already. Of callers at the same time one gets True, as far as the file
+    system creates files atomically (HDFS does)."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return file.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(file)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def side_by_side(work: Callable, items: Iterable, at_once: int = 4) -> list:
     """Run independent jobs at the same time; small ones would leave most of a cluster idle."""
     with ThreadPoolExecutor(at_once) as pool:

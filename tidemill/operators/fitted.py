@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.functions.columns import ColumnError
+from tidemill.functions.durable import claim
 
 ROW = "name string, module string, type string, body string"
 
@@ -25,8 +26,8 @@ class FittedStore:
     Any fitted object of this library can be saved: fields that are plain values, lists, maps or arrays go into the
     described row, fields that are DataFrames are written as tables of their own, so their size does not matter. The
     row comes last: an object whose save broke off is never listed. Names are read from the folder, so a store opened by
-    another session knows them all. Of two writers that save under one name at the same time the later is
-    refused where it finds the other's row written.
+    another session knows them all. A number is claimed by creating a file, so two writers never share one; a
+    number whose writer broke off stays unused.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -49,10 +50,13 @@ class FittedStore:
         if not is_dataclass(fitted):
             raise TypeError(f"{type(fitted).__name__} is not a fitted object")
         taken = [r["name"].rsplit("_v", 1) for r in self._rows().select("name").collect()]
-        name = f"{base}_v{1 + max((int(number) for stem, number in taken if stem == base), default=0)}"
-        folder = f"tables/{name}-{uuid.uuid4().hex}"
+        folder = f"tables/{base}-{uuid.uuid4().hex}"
         body = {f.name: self._plain(getattr(fitted, f.name), f"{folder}/{f.name}") for f in fields(fitted)}
         kind = type(fitted)
+        number = 1 + max((int(number) for stem, number in taken if stem == base), default=0)
+        while not claim(self.spark, f"{self.path}/claims/{base}_v{number}"):
+            number += 1  # another writer has it, or had it and broke off
+        name = f"{base}_v{number}"
         self.spark.createDataFrame([(name, kind.__module__, kind.__name__, json.dumps(body))], ROW) \
             .coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/objects/{name}")
         return name
