@@ -71,6 +71,19 @@ def test_chains_families_and_loose_buckets(spark, monkeypatch, part):
     assert got(docs) == expected(rows)
 
 
+def test_bucket_that_one_task_holds_ends_in_the_second_turn(spark, monkeypatch):
+    """Texts that share most, but not enough: nothing links them, so every pair of a bucket has to be looked at."""
+    turns, by_leaders = [], near_dups._by_leaders
+    monkeypatch.setattr(near_dups, "_by_leaders", lambda *args: turns.append(1) or by_leaders(*args))
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    shared = [word() for _ in range(160)]
+    rows = [(i, " ".join(shared + [word() for _ in range(30)])) for i in range(150)]
+    rows.append((150, rows[40][1] + " " + word()))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
+    assert len(turns) == 2
+
+
 def test_one_document_of_each_group_stays(odd):
     left = drop_near_copies(odd)
     assert left.schema == odd.schema
@@ -118,6 +131,20 @@ def test_signatures_estimate_similarity():
     assert abs((hasher.signature(a) == hasher.signature(b)).mean() - exact) < 0.15
 
 
+@pytest.mark.parametrize("size", [300, 5000])
+def test_lanes_agree_like_independent_ones(size):
+    """Mean and spread of the matches of pairs of similarity 0.75: the posterior takes them as binomial."""
+    rng, hasher = np.random.default_rng(2), MinHasher()
+    matches = []
+    for _ in range(60):
+        words = np.sort(rng.integers(0, 2 ** 64, 8 * size // 7, np.uint64, endpoint=False))
+        part = rng.permutation(len(words)) < len(words) // 8
+        other = rng.permutation(np.flatnonzero(~part))[:len(words) // 8]
+        matches.append((hasher.signature(words[~part]) == hasher.signature(np.delete(words, other))).sum())
+    assert abs(np.mean(matches) / LANES - 0.75) < 0.015
+    assert 0.6 < np.std(matches) / (LANES * 0.75 * 0.25) ** 0.5 < 1.4
+
+
 def test_components(spark):
     draw = random.Random(5)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(60)] + [(5, 5)]

@@ -10,12 +10,14 @@
    more a probability below ``MISS``. Survivors of all lanes are confirmed on the full sets.
 4. After each turn the links found so far are joined to components, and a leader, compared with all, leaves its buckets.
    A bucket whose members are in one component is done. What is left goes another turn, with leaders from all components
-   of the bucket but the largest, more of them each turn. The turns end when no bucket holds two components, so every
-   candidate pair is compared or already in one component. There is no cap on buckets or partners.
+   of the bucket but the largest, more of them each turn; from the second turn on a bucket that one task can hold has all
+   of them lead, which ends it. The turns end when no bucket holds two components, so every candidate pair is compared or
+   already in one component. There is no cap on buckets or partners.
 5. Links are joined to components.
 
 Buckets are never gathered in one task: leaders come from partial aggregation, members meet them in joins whose
-skewed side the adaptive planner splits, or in parts that hold a bounded number of members and of leaders.
+skewed side the adaptive planner splits, or in parts that hold a bounded number of members and of leaders. Small buckets
+share a task's call, as a call costs more than most buckets do.
 """
 
 from __future__ import annotations
@@ -169,52 +171,59 @@ def _leaders(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Of (band, place, rep, comp): the rows of buckets that hold several components, and those of them that lead.
 
     Every pair still to be judged has a member outside its bucket's largest component, so leaders come from the others: of
-    each a few members, more each turn; and where a bucket holds very many components, of some, more each turn. What
-    leads in one bucket leads in all of its own.
+    each a few members, more each turn; and where a bucket holds very many components, of some, more each turn. After the
+    first turn all of them lead in buckets of at most ``PART`` members, which are done with that.
     """
     parts = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
     by_size, by_hash = F.struct("size", "comp"), F.struct(F.xxhash64(F.lit(turn), "comp"), "comp")
     buckets = parts.groupBy("band").agg(F.max_by("comp", by_size).alias("main"), F.min_by("comp", by_hash).alias("early"),
-                                        F.max_by("comp", by_hash).alias("late"), F.count("*").alias("comps"))
+                                        F.max_by("comp", by_hash).alias("late"), F.count("*").alias("comps"),
+                                        (F.lit(turn > 1) & (F.sum("size") <= PART)).alias("all_lead"))
     # the two ends are different components, so a bucket always has one that leads
     buckets = stage(buckets.filter("comps > 1").withColumn("drawn", F.when(F.col("early") != F.col("main"), F.col("early"))
                                                            .otherwise(F.col("late"))), "open-buckets")
     left = stage(placed.join(buckets.select("band"), "band"), "open-members")
     some = F.pmod(F.xxhash64(F.lit(turn), "comp"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * COMPONENTS * MORE ** (turn - 1) / F.col("comps")
     others = stage(parts.join(buckets, "band").filter(F.col("comp") != F.col("main"))
-                   .filter(some | (F.col("comp") == F.col("drawn")))
-                   .select("band", "comp", "size", "first"), "led")
+                   .filter(some | (F.col("comp") == F.col("drawn")) | F.col("all_lead"))
+                   .select("band", "comp", "size", "first", "all_lead"), "led")
     drawn = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * MORE ** (turn - 1) / F.col("size")
-    names = stage(left.join(others, ["band", "comp"]).filter(drawn | (F.col("rep") == F.col("first")))
+    names = stage(left.join(others, ["band", "comp"]).filter(drawn | (F.col("rep") == F.col("first")) | F.col("all_lead"))
                   .select("band", "place", "rep", "comp"), "leaders")
     return left, names
 
 
-def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: DataFrame, threshold: float, miss: float) -> DataFrame:
+def _by_leaders(left: DataFrame, names: DataFrame, known: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(a, block, bs) of a leader and those members of a block that share a bucket with it, are in another component and that
     the posterior does not drop.
 
     Buckets are cut into parts of about ``PART`` members, and so are their leaders; each part meets each part of leaders
-    in one task, which sends on only what is left. A pair that shares several buckets is looked at in the first of its bands: where
-    it is not there any more, it was judged in an earlier turn or is in one component.
+    in one task, which sends on only what is left. Parts are packed into bins of about ``PART`` members for one call each.
+    A pair that shares several buckets is looked at in the first of its bands: where it is not there any more, it was judged in
+    an earlier turn or is in one component. Of two that both lead there, the smaller one leads.
     """
-    bounds = posterior_bounds(threshold, miss, LANES, BATCH)
+    bounds, least = posterior_bounds(threshold, miss, LANES, BATCH), round(100 * threshold)
+    keys = ["band", "part", "lead_part"]
 
     def compare(members: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(members) and len(heads):
-            rows = np.frombuffer(b"".join(members["sig"]), np.uint16).reshape(-1, LANES)
-            reps, comps, sizes, blocks = (members[c].to_numpy() for c in ("rep", "comp", "n", "block"))
-            place, least = members["place"].iat[0], round(100 * threshold)
-            for lead, comp, size, sig, bands in zip(*(heads[f"l_{c}"] for c in ("rep", "comp", "n", "sig", "bands"))):
-                leads = (bands >> np.arange(BANDS)) & 1 > 0
+        parts = heads.groupby([f"l_{k}" for k in keys]).indices if len(members) and len(heads) else {}
+        for key, own in members.groupby(keys).indices.items() if parts else ():
+            own, lead_rows = members.iloc[own], heads.iloc[parts.get(key, [])]
+            rows = np.frombuffer(b"".join(own["sig"]), np.uint16).reshape(-1, LANES)
+            reps, comps, sizes, blocks = (own[c].to_numpy() for c in ("rep", "comp", "n", "block"))
+            place, also = own["place"].iat[0], np.isin(reps, lead_rows["l_rep"].to_numpy())
+            for lead, comp, size, sig, bands in zip(*(lead_rows[f"l_{c}"] for c in ("rep", "comp", "n", "sig", "bands"))):
                 fits = 100 * np.minimum(sizes, size) >= least * np.maximum(sizes, size)
-                other = np.flatnonzero((comps != comp) & fits)
-                same = rows[other] == np.frombuffer(sig, np.uint16)
-                first = (same.reshape(len(other), BANDS, ROWS).all(axis=2) & leads).argmax(axis=1) == place
-                open_, same = other[first], same[first]
+                open_ = np.flatnonzero((comps != comp) & fits & ~(also & (reps < lead)))
+                same = rows[open_] == np.frombuffer(sig, np.uint16)
+                shared = reduce(np.logical_and, (same[:, k::ROWS] for k in range(ROWS)))
+                first = (shared & ((bands >> np.arange(BANDS)) & 1 > 0)).argmax(axis=1) == place
+                open_, same = open_[first], same[first]
                 matches = np.zeros(len(open_), int)
                 for k in range(LANES // BATCH):
+                    if not len(open_):
+                        break
                     matches += same[:, k * BATCH:(k + 1) * BATCH].sum(axis=1)
                     left_ = bounds[k, matches] >= threshold
                     open_, same, matches = open_[left_], same[left_], matches[left_]
@@ -224,7 +233,9 @@ def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: Data
     bands = names.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bands"))
     led = stage(names.select("band", "rep", "comp").join(bands, "rep"), "led")
     lead_parts = led.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("lead_parts"))
-    parts = stage(left.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(lead_parts, "band"), "bucket-parts")
+    parts = stage(left.groupBy("band").agg(F.count("*").alias("size"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+                  .join(lead_parts, "band"), "bucket-parts")
+    bins = max(1, -(-(parts.agg(F.sum(F.col("size") * F.col("lead_parts"))).first()[0] or 0) // PART))
 
     def number(count: str) -> Column:
         return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
@@ -232,13 +243,12 @@ def _by_leaders(left: DataFrame, names: DataFrame, sigs: DataFrame, blocks: Data
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    members = left.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep").join(blocks, "rep") \
-        .withColumn("part", number("parts")).withColumn("lead_part", each("lead_parts"))
-    heads = led.join(parts, "band").join(sigs.select("rep", "n", "sig"), "rep") \
-        .withColumn("lead_part", number("lead_parts")).withColumn("part", each("parts"))
-    keys = ["band", "part", "lead_part"]
-    heads = heads.select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "rep", "comp", "n", "sig", "bands")])
-    both = members.select(*keys, "place", "rep", "comp", "n", "sig", "block").groupBy(*keys).cogroup(heads.groupBy(*[f"l_{k}" for k in keys]))
+    bin_ = F.pmod(F.xxhash64(*keys), F.lit(bins))
+    members = left.join(parts, "band").join(known, "rep").withColumn("part", number("parts")).withColumn("lead_part", each("lead_parts"))
+    heads = led.join(parts, "band").join(known, "rep").withColumn("lead_part", number("lead_parts")).withColumn("part", each("parts"))
+    members = members.select(bin_.alias("bin"), *keys, "place", "rep", "comp", "n", "sig", "block")
+    heads = heads.select(*[c.alias(f"l_{name}") for name, c in (("bin", bin_), *((k, F.col(k)) for k in (*keys, "rep", "comp", "n", "sig", "bands")))])
+    both = members.groupBy("bin").cogroup(heads.groupBy("l_bin"))
     return both.applyInPandas(compare, "a long, block long, bs binary")
 
 
@@ -258,6 +268,7 @@ def near_components(docs: DataFrame, sigs: DataFrame, given: DataFrame, percent:
     first = stage(met_all.filter("all").select("band", "rep"), "settled")
     blocks = _blocks(own, sigs)
     sets = _candidate_sets(docs, id_col, text_col, blocks)
+    known = stage(sigs.select("rep", "n", "sig").join(blocks, "rep"), "known")
 
     @F.pandas_udf("binary")
     def packed(ids: pd.Series) -> pd.Series:
@@ -277,8 +288,8 @@ def near_components(docs: DataFrame, sigs: DataFrame, given: DataFrame, percent:
         members, settled = _leaders(placed, turn)
         if settled.isEmpty():
             break
-        links = _confirmed(_by_leaders(members, settled, sigs, blocks, threshold, miss), sets, percent)
-    release(sets)
+        links = _confirmed(_by_leaders(members, settled, known, threshold, miss), sets, percent)
+    release(sets, known)
     return comps
 
 

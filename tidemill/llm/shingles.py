@@ -8,7 +8,7 @@ import xxhash
 WORDS = 5
 LANES = 360
 CACHED_WORDS = 300_000
-LONG = 4096  # shingles hashed at once: bounds the memory of a very long text
+LONG = 512  # shingles hashed at once: their values stay in the processor's cache, however long a text is
 
 
 class WordHashes(dict):
@@ -39,24 +39,33 @@ def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.
     run ^= run >> np.uint64(32)
     run *= np.uint64(0x94D049BB133111EB)
     run ^= run >> np.uint64(29)
-    return np.unique(run)
+    run.sort()
+    first = np.ones(len(run), bool)
+    np.not_equal(run[1:], run[:-1], out=first[1:])
+    return run[first]
 
 
 class MinHasher:
+    """Lanes are permutations of 32-bit numbers, the upper halves of the shingles' hashes: two shingles with one number make sets
+    look more alike, never less, and the sets themselves keep all 64 bits."""
+
     def __init__(self, lanes: int = LANES, seed: int = 8):
         rng = np.random.default_rng(seed)
-        self.scale = rng.integers(0, 2 ** 63, (lanes, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(0, 2 ** 64, (lanes, 1), np.uint64, endpoint=False)
+        self.scale = rng.integers(0, 2 ** 31, (lanes, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+        self.shift = rng.integers(0, 2 ** 32, (lanes, 1), np.uint32)
+        self.room = np.empty(lanes * LONG, np.uint32)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         """Sixteen bits of the smallest hash of each lane: two sets agree in a lane with their similarity as probability."""
-        least = None
-        for at in range(0, len(shingles), LONG):
-            values = self.scale * shingles[None, at:at + LONG]
+        numbers = (shingles >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.scale), 2 ** 32 - 1, np.uint32)
+        for at in range(0, len(numbers), LONG):
+            part = numbers[at:at + LONG]
+            values = self.room[:len(least) * len(part)].reshape(len(least), len(part))
+            np.multiply(self.scale, part, out=values)
             values += self.shift
-            part = values.min(axis=1)
-            least = part if least is None else np.minimum(least, part)
-        return (least >> np.uint64(20)).astype(np.uint16)
+            np.minimum(least, values.min(axis=1), out=least)
+        return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
