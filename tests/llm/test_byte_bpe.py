@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from tidemill.llm import byte_bpe
 from tidemill.llm.byte_bpe import PATTERN, Tokenizer, decode, encode, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,6 +38,20 @@ def test_ids_are_those_of_the_library(reference):
     assert own.decode(sizes, ids) == [t.encode() for t in odd]
 
 
+@pytest.mark.parametrize("turns", [64, 2])
+def test_many_words_are_one_call(reference, monkeypatch, turns):
+    """Words that end in different turns, and words that go round again, in few passes over the merge table."""
+    monkeypatch.setattr(byte_bpe, "TURNS", turns)
+    own, sizes = Tokenizer(PATH), []
+    contract = own._contract
+    monkeypatch.setattr(own, "_contract", lambda word, *args: sizes.append(len(word)) or contract(word, *args))
+    draw = random.Random(6)
+    text = " ".join("".join(draw.choices("abcdeéß", k=draw.randrange(2, 15))) for _ in range(12_000))
+    lengths, ids = own.encode([text])
+    assert list(ids) == reference.encode_ordinary(text) and list(lengths) == [len(ids)]
+    assert len(sizes) == 1 if turns == 64 else sizes == sorted(sizes, reverse=True)
+
+
 def test_round_trip_of_documents(odd, documents, reference):
     for docs in (odd.filter("text IS NULL OR length(text) < 1000"), documents):
         ids = encode(docs, PATH)

@@ -1,10 +1,10 @@
 """Byte-level BPE with the merges done by recursive queries in DuckDB, inside each Spark task.
 
 Texts are cut into words by the tokenizer's pattern. A word that is in the vocabulary is one token. Every other distinct
-word of a stretch of text becomes rows (word, position, token), one for each byte. The recursive query joins neighbouring
-positions with the merge table, takes each word's pair of least rank (leftmost among equals), contracts it and moves
-later positions up by one, until no word has a pair left. Words are encoded once for each worker as long as its bounded
-cache holds them. Decoding joins token rows with the vocabulary and puts the bytes together by ordered aggregation.
+word of a stretch of text becomes rows (word, position, token, following token), one for each byte. The recursive query joins
+them with the merge table, takes each word's pair of least rank (leftmost among equals), contracts it and moves
+later positions up by one; a word without a pair left is marked as ended. Words are encoded once for each worker as long as its bounded
+cache holds them. Decoding joins token rows with the vocabulary and puts the bytes together by ordered aggregation, a byte as the character of that number.
 
 Everything is local to a partition: no shuffle, and memory is bounded by ``STRETCH`` characters, ``CACHED_WORDS``
 and DuckDB's own limit, not by the partition.
@@ -28,7 +28,7 @@ from tidemill.functions.columns import col, free_name
 
 STRETCH = 2_000_000
 CACHED_WORDS = 500_000
-ROWS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 2_000_000  # a call goes through the merge table once a turn, so calls are few
 TURNS = 64
 MEMORY = "400MB"
 
@@ -37,21 +37,23 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 CONTRACT = """
-WITH RECURSIVE step(turn, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM bytes
+WITH RECURSIVE step(turn, word, pos, token, following, ended) AS (
+    SELECT 0, word, pos, token, following, false FROM bytes
     UNION ALL
-    (WITH best AS (
-        SELECT l.word, min((m.merged::BIGINT << 32) + l.pos) AS pair
-        FROM step l JOIN step r ON r.word = l.word AND r.pos = l.pos + 1
-            JOIN merges m ON m.first = l.token AND m.second = r.token
-        WHERE l.turn < {turns} GROUP BY l.word)
-    SELECT turn + 1, word, CASE WHEN pos > (pair & 4294967295) THEN pos - 1 ELSE pos END,
-        CASE WHEN pos = (pair & 4294967295) THEN (pair >> 32)::INTEGER ELSE token END
-    FROM step JOIN best USING (word) WHERE pos <> (pair & 4294967295) + 1))
-SELECT word, token, turn FROM step JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) USING (word, turn) ORDER BY word, pos"""
+    (WITH least AS (
+        SELECT word, min((m.merged::BIGINT << 32) + pos) AS pair
+        FROM step JOIN merges m ON m.couple = (token::BIGINT << 32) + following
+        WHERE NOT ended AND turn < {turns} GROUP BY word),
+    best AS (
+        SELECT least.word, (pair & 4294967295)::INTEGER AS place, (pair >> 32)::INTEGER AS merged, step.following AS beyond
+        FROM least JOIN step ON step.word = least.word AND step.pos = (pair & 4294967295) + 1)
+    SELECT turn + 1, step.word, CASE WHEN pos > place THEN pos - 1 ELSE pos END, CASE WHEN pos = place THEN merged ELSE token END,
+        CASE WHEN pos = place THEN beyond WHEN pos = place - 1 THEN merged ELSE following END, place IS NULL
+    FROM step LEFT JOIN best ON best.word = step.word WHERE NOT ended AND turn < {turns} AND (place IS NULL OR pos <> place + 1)))
+SELECT word, token, turn FROM step WHERE ended OR turn = {turns} ORDER BY word, pos"""
 
 DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc"""
+SELECT doc, string_agg(letters, '' ORDER BY pos) AS letters FROM tokens JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,11 +73,11 @@ class Tokenizer:
         self.words: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.db.execute("SET preserve_insertion_order = false")
-        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in self.ranks]})
         pairs = ((self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t))
                  if t[:k] in self.ranks and t[k:] in self.ranks)
         first, second, merged = (pa.array(c, pa.int32()) for c in zip(*pairs))
-        merges = pa.table({"first": first, "second": second, "merged": merged})
+        merges = pa.table({"couple": pa.compute.add(pa.compute.multiply(first.cast(pa.int64()), 1 << 32), second.cast(pa.int64())), "merged": merged})
         for name, table in (("vocabulary", vocabulary), ("merges", merges)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -84,7 +86,9 @@ class Tokenizer:
     def _contract(self, word: np.ndarray, token: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         pos = np.arange(len(word)) - np.repeat(starts, np.diff(starts, append=len(word)))
-        self.db.register("bytes", pa.table({"word": word.astype(np.int32), "pos": pos.astype(np.int32), "token": token}))
+        following = np.append(token[1:], np.int32(-1))
+        following[starts[1:] - 1] = -1
+        self.db.register("bytes", pa.table({"word": word.astype(np.int32), "pos": pos.astype(np.int32), "token": token, "following": following}))
         got = self.db.execute(CONTRACT.format(turns=turns)).fetchnumpy()
         return np.asarray(got["word"]), np.asarray(got["token"], np.int32), np.asarray(got["turn"])
 
@@ -98,8 +102,9 @@ class Tokenizer:
             word, token, turn = self._contract(word, token, TURNS)
             more = turn == TURNS
             starts = np.flatnonzero(np.diff(word, prepend=-1))
-            for k, ids in zip(word[starts], np.split(token, starts[1:])):
-                out[k] = ids.tobytes()
+            ids, ends = token.tobytes(), np.append(starts[1:], len(token)) * 4
+            for k, at, end in zip(word[starts].tolist(), (starts * 4).tolist(), ends.tolist()):
+                out[k] = ids[at:end]
             word, token = word[more], token[more]
         return out
 
@@ -141,7 +146,7 @@ class Tokenizer:
                 "doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "token": tokens.astype(np.int32),
                 "pos": np.arange(len(tokens), dtype=np.int32)}))
             for doc, text in self.db.execute(DECODE).fetchall():
-                out[doc] = bytes.fromhex(text)
+                out[doc] = text.encode("latin-1")
         return out
 
 
