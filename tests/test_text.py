@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 from conftest import column
@@ -69,6 +71,58 @@ def test_harmonize_large_map(spark):
     assert catnorm.harmonize_values(df.limit(0), "w", names).count() == 0
 
 
+def worker_memory(field):
+    """MB of each Python worker that is alive, as its status file names them."""
+    found = {}
+    for folder in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (folder / "cmdline").read_bytes():
+                found[folder] = int(re.search(rf"{field}:\s+(\d+)", (folder / "status").read_text())[1]) / 1024
+        except (OSError, TypeError):  # it has ended meanwhile
+            pass
+    return found
+
+
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 4000])
+def test_harmonize_holds_the_hits_of_few_texts(spark, automaton_bytes):
+    """10,000 texts of 300 words each in one partition; the map as one automaton and in parts."""
+    names = {f"<{i}>": [f"word{i}"] for i in range(300)}
+    df = spark.range(10_000, numPartitions=1).select("id", F.lit(" ".join(f"Word{i}" for i in range(300))).alias("w"))
+    for folder in worker_memory("VmRSS"):
+        (folder / "clear_refs").write_text("5")  # peaks start anew
+    before = worker_memory("VmRSS")
+    out = catnorm.harmonize_values(df, "w", names, automaton_bytes=automaton_bytes)
+    assert out.filter(F.col("w") == " ".join(names)).count() == 10_000
+    assert max(peak - before.get(folder, 0) for folder, peak in worker_memory("VmHWM").items()) < 450
+
+
+@pytest.mark.parametrize("window", [1, 7, 1000])
+def test_harmonize_long_text_window_by_window(monkeypatch, window):
+    pick, fold = random.Random(6), catnorm._fold_case
+    table = catnorm._synonym_table({**SYNONYMS, "long": ["now - soft drink pop now - now"]}, fold)
+    monkeypatch.setattr(catnorm, "WINDOW", window)
+    hits = catnorm._searcher(table, fold)
+    words = "|".join(re.escape(w) for w in sorted(table, key=lambda w: (-len(w), w)))
+    pattern = re.compile(f"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])")
+    for _ in range(20):
+        text = "".join(pick.choice([*PIECES, " ", " ", "now - soft drink pop now - now"]) for _ in range(300))
+        low, want, done = fold(text), [], 0
+        for hit in pattern.finditer(low):
+            want += [text[done:hit.start()], table[hit[0]]]
+            done = hit.end()
+        assert catnorm._replaced(text, hits(text)) == "".join(want) + text[done:]
+        packs = b"".join(catnorm._packed(catnorm._searcher(part, fold)(text)) for part in catnorm._table_parts(table, 30))
+        assert catnorm._replaced(text, catnorm._unpacked(packs)) == "".join(want) + text[done:]
+
+
+def test_packed_hits():
+    many = [(k, k + 1, f"é{k}") for k in range(0, 90_000, 3)]
+    for hits in ([], [(0, 3, "")], [(70_000, 70_400, "a"), (70_001, 200_000, "b"), (90_000, 90_001, "a")], many):
+        assert list(catnorm._unpacked(catnorm._packed(hits))) == hits
+    assert list(catnorm._unpacked(catnorm._packed([(5, 6, "a")]) + catnorm._packed([]) + catnorm._packed([(4, 9, "c"), (5, 7, "b")]))) == [
+        (4, 9, "c"), (5, 7, "b"), (5, 6, "a")]
+
+
 def lcs_ratio(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+import struct
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from io import StringIO
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.columns import ColumnError, col, free_name, q, require_categorical
-from tidemill.functions.durable import stage
+from tidemill.functions.durable import release, stage
 from tidemill.functions.lookup import lookup_join
 from tidemill.operators.valuecounts import column_counts, count_name
 
@@ -77,6 +84,9 @@ def normalize_text(df: DataFrame, column: str, steps: tuple[str, ...] = STEPS) -
 WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 EXPRESSION_WORDS = 200  # words up to which a map is one regular expression in the JVM
 AUTOMATON_BYTES = 32 * 1024 * 1024  # text of a map that a task holds as one automaton
+STRETCH_BYTES = 1024 * 1024  # text that a worker holds as Python objects, in whole rows
+WINDOW = 64 * 1024  # characters that are searched at once, and hits that are unpacked at once
+Hit = tuple[int, int, str]  # start, stop, canonical
 
 
 def _synonym_table(synonyms: dict[str, list[str]], fold: Callable[[str], str]) -> dict[str, str]:
@@ -123,54 +133,127 @@ def _table_parts(table: dict[str, str], limit: int) -> list[dict[str, str]]:
     return parts
 
 
-def _found_words(df: DataFrame, table: dict[str, str], fold: Callable[[str], str]) -> Callable[[Column], Column]:
-    """A function from a text column to its whole-word hits (start, stop, canonical), the longest at each start.
+def _searcher(table: dict[str, str], fold: Callable[[str], str]) -> Callable[[str], Iterator[Hit]]:
+    """A function from a text to its whole-word hits from the left, the longest at each start.
 
-    The map is broadcast as words; each task builds the automaton from it once and reads every text once.
+    A long text is searched window by window, each with the length of the longest word beyond its end: no more hits are
+    held at once than begin in one window.
     """
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    import ahocorasick
 
-    @F.pandas_udf("array<struct<start:int,stop:int,canonical:string>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word, canonical in shared.value.items():
-            automaton.add_word(word, (len(word), canonical))
-        automaton.make_automaton()
+    automaton = ahocorasick.Automaton()
+    for word, canonical in table.items():
+        automaton.add_word(word, (len(word), canonical))
+    automaton.make_automaton()
+    reach = max(map(len, table))
+    step = max(WINDOW, 4 * reach)
 
-        def one(text):
-            if text is None:
-                return None
+    def hits(text):
+        for at in range(0, len(text), step):
             longest = {}
-            for last, (width, canonical) in automaton.iter(fold(text)):
-                start, stop = last + 1 - width, last + 1
-                if start and text[start - 1] in WORD_CHARACTERS or stop < len(text) and text[stop] in WORD_CHARACTERS:
+            for last, (width, canonical) in automaton.iter(fold(text[at:at + step + reach])):
+                stop = at + last + 1
+                start = stop - width
+                if start >= at + step or start and text[start - 1] in WORD_CHARACTERS \
+                        or stop < len(text) and text[stop] in WORD_CHARACTERS:
                     continue
                 longest[start] = stop, canonical  # ends come in rising order
-            return [{"start": s, "stop": e, "canonical": c} for s, (e, c) in sorted(longest.items())]
+            for start in sorted(longest):
+                yield start, *longest[start]
+
+    return hits
+
+
+def _replaced(text: str, hits: Iterable[Hit]) -> str:
+    """The text with its hits replaced from the left; a hit that overlaps one taken before it is passed over."""
+    out, done = StringIO(), 0
+    for start, stop, canonical in hits:
+        if start >= done:
+            out.write(text[done:start])
+            out.write(canonical)
+            done = stop
+    out.write(text[done:])
+    return out.getvalue()
+
+
+def _stretches(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows of about ``STRETCH_BYTES``: what a batch of Spark holds may be
+    many times more than a worker has memory for as Python objects."""
+    total = np.cumsum(np.asarray(pc.fill_null(sizes, 0), np.int64))
+    first = np.flatnonzero(np.diff(total // STRETCH_BYTES, prepend=-1))
+    return zip(first.tolist(), np.diff(first, append=len(total)).tolist())
+
+
+def _replaced_words(df: DataFrame, table: dict[str, str], fold: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function from a text column to the texts with the words of ``table`` replaced.
+
+    The map is broadcast as words; each task builds the automaton from it once and reads every text once. Hits are used
+    as they are found and never gathered.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("string")
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hits = _searcher(shared.value, fold)
+        for texts in batches:
+            for at, n in _stretches(pc.binary_length(texts)):
+                yield pa.array([None if t is None else _replaced(t, hits(t)) for t in texts.slice(at, n).to_pylist()], pa.string())
+
+    return replace
+
+
+def _packed(hits: Iterable[Hit]) -> bytes:
+    """Hits as three rows of small numbers (gap to the start before, length, name), then each canonical value once. Packs
+    can be put one after another."""
+    places, names, last = array("i"), {}, 0
+    for start, stop, canonical in hits:
+        places.extend((start - last, stop - start, names.setdefault(canonical, len(names))))
+        last = start
+    table = np.array(places, np.int32).reshape(-1, 3).T
+    kind, words = np.min_scalar_type(int(table.max(initial=0))), json.dumps(list(names)).encode()
+    return struct.pack("=iii", table.shape[1], kind.itemsize, len(words)) + table.astype(kind).tobytes() + words
+
+
+def _unpacked(packs: bytes) -> Iterator[Hit]:
+    """The hits of all packs from the left, the longest first."""
+    tables, names, at = [], [], 0
+    while at < len(packs):
+        n, size, width = struct.unpack_from("=iii", packs, at)
+        gap, length, name = np.frombuffer(packs, f"u{size}", 3 * n, at + 12).reshape(3, n).astype(np.int32)
+        start = np.cumsum(gap, dtype=np.int32)
+        tables.append([start, start + length, name + len(names)])
+        at += 12 + 3 * n * size + width
+        names += json.loads(packs[at - width:at])
+    start, stop, name = np.concatenate(tables, axis=1)
+    order = np.lexsort((-stop, start))
+    for k in range(0, len(order), WINDOW):
+        some = order[k:k + WINDOW]
+        for a, b, which in zip(start[some].tolist(), stop[some].tolist(), name[some].tolist()):
+            yield a, b, names[which]
+
+
+def _found_words(df: DataFrame, table: dict[str, str], fold: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function from a text column to its packed hits, for a map in several parts; the rest as in ``_replaced_words``."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
+    @F.arrow_udf("binary")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hits = _searcher(shared.value, fold)
         for texts in batches:
-            yield texts.map(one)
+            for at, n in _stretches(pc.binary_length(texts)):
+                yield pa.array([None if t is None else _packed(hits(t)) for t in texts.slice(at, n).to_pylist()], pa.binary())
 
     return find
 
 
 def _swapped(values: Column, hits: Column) -> Column:
-    """Texts with their hits replaced from the left; a hit that overlaps one taken before it is passed over."""
-    @F.pandas_udf("string")
-    def swap(texts: pd.Series, found: pd.Series) -> pd.Series:
-        def one(text, hits):
-            if text is None:
-                return None
-            out, done = [], 0
-            for hit in sorted(hits, key=lambda h: (h["start"], -h["stop"])):
-                if hit["start"] >= done:
-                    out += [text[done:hit["start"]], hit["canonical"]]
-                    done = hit["stop"]
-            return "".join(out) + text[done:]
-
-        return pd.Series([one(t, h) for t, h in zip(texts, found)], dtype=object)
+    """Texts with the packed hits of all parts of a map replaced."""
+    @F.arrow_udf("string")
+    def swap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, packs in batches:
+            for at, n in _stretches(pc.add(pc.binary_length(texts).cast("int64"), pc.binary_length(packs))):
+                rows = zip(texts.slice(at, n).to_pylist(), packs.slice(at, n).to_pylist())
+                yield pa.array([None if t is None else _replaced(t, _unpacked(p)) for t, p in rows], pa.string())
 
     return swap(values, hits)
 
@@ -181,7 +264,9 @@ def harmonize_values(df: DataFrame, column: str, synonyms: dict[str, list[str]],
 
     A map of at most ``expression_words`` words becomes one expression. A larger one becomes an Aho-Corasick automaton, in time
     linear in the text whatever the number of words. Of a map above ``automaton_bytes`` no task holds more than
-    one part of that size: the parts are looked for one after another, with the hits so far staged beside the rows.
+    one part of that size: the parts are looked for one after another, with the hits so far staged beside the rows,
+    at most two such tables at a time.
+    A worker turns over about ``STRETCH_BYTES`` of text at once, however many rows Spark's batches have.
     Null stays null; the empty text and an empty map change nothing.
     """
     require_categorical(df, column)
@@ -191,13 +276,16 @@ def harmonize_values(df: DataFrame, column: str, synonyms: dict[str, list[str]],
     if len(table) <= expression_words:
         made = harmonized(text, synonyms, case_sensitive)
         return df.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
-    hits, out = free_name(df, "_hits"), df
     parts = _table_parts(table, automaton_bytes)
+    if len(parts) == 1:
+        made = _replaced_words(df, table, fold)(text)
+        return df.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
+    hits, out = free_name(df, "_hits"), df
     for k, part in enumerate(parts):
         found = _found_words(df, part, fold)(text)
-        out = out.withColumn(hits, F.concat(col(hits), found) if k else found)
-        if k + 1 < len(parts):
-            out = stage(out, "hits")
+        last, out = out, stage(out.withColumn(hits, F.concat(col(hits), found) if k else found), "hits")
+        if k:
+            release(last)
     made = _swapped(text, col(hits))
     return out.select(*[made.alias(c) if c == column else col(c) for c in df.columns])
 
